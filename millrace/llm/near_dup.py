@@ -7,8 +7,8 @@ single value left out, so every such pair meets under some key. The chance that
 exactly 0.8 share no key is 0.18 ** 8, about one in a million, and it falls fast above.
 
 Links are confirmed on full sets. Equal sets are one class from the start. Inside a key, classes are first compared
-with the key's smallest class, so a large group of copies costs one comparison for each member and never all pairs.
-Only classes that then still share a key but not a component are compared with each other.
+with one leader, in a few rounds with other leaders, so a large group of copies costs a few comparisons for each
+member and never all pairs. Only classes that then still share a key but not a component are compared with each other.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from millrace.llm.common import materialise, prepare, slices, utf8
 from millrace.llm.components import connected_components
 
 PERMUTATIONS, BITS, CHUNKS = 32, 16, 8
+STAR_ROUNDS, PARITY_BITS = 2, 1024
 PER_CHUNK = PERMUTATIONS // CHUNKS
 _rng = np.random.default_rng(8)
 _A = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,7 +71,7 @@ def index_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _sketch(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 
     def run(batches):
         for whole in batches:
@@ -78,6 +79,7 @@ def _sketch(width: int):
                 hashes, begin = shingle_hashes(data, off, width)
                 n = part.num_rows
                 sizes, s1, s2 = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+                parity = np.zeros((n, PARITY_BITS // 64), np.int64)
                 signatures, full = np.zeros((n, PERMUTATIONS), np.uint64), np.zeros(n, bool)
                 for i in range(n):
                     if begin[i + 1] > begin[i]:
@@ -86,10 +88,13 @@ def _sketch(width: int):
                         s1[i] = own.sum(dtype=np.uint64).view(np.int64)
                         s2[i] = K.mix(own ^ np.uint64(K._BASE)).sum(dtype=np.uint64).view(np.int64)
                         signatures[i] = signature(own)
+                        odd = np.bincount((own & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+                        parity[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
                 keys = index_keys(signatures[full])
                 lengths = np.where(full, keys.shape[1], 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(s1), pa.array(s2), lists], schema=schema)
+                parities = pa.FixedSizeListArray.from_arrays(pa.array(parity.ravel()), PARITY_BITS // 64).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(s1), pa.array(s2), lists, parities], schema=schema)
 
     return run
 
@@ -130,6 +135,34 @@ def _verified(edges: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return pairs.mapInArrow(_confirm(width, percent), "a long, b long")
 
 
+def _star_pairs(placed: DataFrame, turn: int) -> DataFrame:
+    """Each class against one leader of each key where it is not yet in the leader's component; another leader each turn."""
+    rank = F.col("class") if turn == 0 else F.xxhash64("class", "key", F.lit(turn))
+    lead = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min_by("class", rank).alias("b"), F.min_by("component", rank).alias("cb"))
+    lead = lead.where("c1 <> c2").drop("c1", "c2")
+    met = placed.join(lead, (placed["key"] == lead["key"]) & (placed["component"] != lead["cb"]))
+    return met.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
+
+
+def _possible(percent: int) -> str:
+    """What two sets must meet to be similar enough, without loss.
+
+    The intersection is at most the smaller set and the union at least the larger. Bits that differ between the sets'
+    parity maps are at most as many as shingles that only one of them has.
+    """
+    differ = " + ".join(f"bit_count(pa[{i}] ^ pb[{i}])" for i in range(PARITY_BITS // 64))
+    return f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * ({differ}) <= {100 - percent} * (na + nb)"
+
+
+def _all_pairs(placed: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The classes that share a key and, after the star rounds, still not a component: the rest of the comparisons."""
+    split = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
+    rows = placed.join(split, "key").join(facts, "class")
+    left = rows.select("key", F.col("class").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"), F.col("component").alias("ca"))
+    right = rows.select("key", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"), F.col("component").alias("cb"))
+    return left.join(right, "key").where("ca <> cb and a < b").where(_possible(percent)).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for each row.
 
@@ -140,29 +173,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = prepare(docs)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"
+    sketch = "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>, parity array<long>"
     sets = materialise(docs.mapInArrow(_sketch(width), sketch), "sets")
     some = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = materialise(some.groupBy("n_shingles", "s1", "s2").agg(F.min(F.struct("doc_id", "keys")).alias("low")).select("n_shingles", "s1", "s2", F.col("low.doc_id").alias("class"), F.col("low.keys").alias("keys")), "classes")
-    entries = classes.select("class", "n_shingles", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key", "low")
-    met = entries.join(shared, "key")
-    stars = materialise(met.where("class <> low").select(F.col("low").alias("a"), F.col("class").alias("b")).distinct(), "stars")
-    ids = stars.select(F.col("a").alias("doc_id")).unionByName(met.select(F.col("class").alias("doc_id"))).distinct()
-    texts = materialise(_texts(docs, ids), "texts")
-    links = materialise(_verified(stars, texts, width, percent), "links")
-    found = connected_components(links)
-
-    # Classes that share a key and not a component: the rest of the comparisons.
-    placed = materialise(met.select("key", "class", "n_shingles").join(found, F.col("class") == F.col("node"), "left").select("key", "class", "n_shingles", F.coalesce("component", "class").alias("component")), "placed")
-    split = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
-    open_ = placed.join(split, "key")
-    left = open_.select("key", F.col("class").alias("a"), F.col("n_shingles").alias("na"), F.col("component").alias("ca"))
-    right = open_.select("key", F.col("class").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"))
-    # The intersection is at most the smaller set and the union at least the larger: sizes too far apart cannot link.
-    rest = left.join(right, "key").where(f"ca <> cb and a < b and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
-    rest = materialise(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(_verified(rest, texts, width, percent))
+    classes = materialise(some.groupBy("n_shingles", "s1", "s2").agg(F.min(F.struct("doc_id", "keys", "parity")).alias("low")).select("n_shingles", "s1", "s2", F.col("low.doc_id").alias("class"), F.col("low.keys").alias("keys"), F.col("low.parity").alias("parity")), "classes")
+    entries = classes.select("class", F.explode("keys").alias("key"))
+    facts = classes.select("class", F.col("n_shingles").alias("n"), "parity")
+    shared = entries.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
+    met = materialise(entries.join(shared, "key"), "met")
+    texts = materialise(_texts(docs, met.select(F.col("class").alias("doc_id")).distinct()), "texts")
+    links, tested = spark.createDataFrame([], "a long, b long"), None
+    placed = met.withColumn("component", F.col("class"))
+    for turn in range(STAR_ROUNDS + 1):
+        if turn == STAR_ROUNDS:
+            pairs = _all_pairs(placed, facts, percent)
+        else:
+            one, two = (facts.select(F.col("class").alias(k), F.col("n").alias("n" + k), F.col("parity").alias("p" + k)) for k in "ab")
+            pairs = _star_pairs(placed, turn).join(one, "a").join(two, "b").where(_possible(percent)).select("a", "b")
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        if pairs.isEmpty():
+            continue
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = links.unionByName(materialise(_verified(pairs, texts, width, percent), "links"))
+        if turn < STAR_ROUNDS:
+            found = connected_components(links)
+            placed = met.join(found, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("component", "class").alias("component"))
+            placed = materialise(placed, "placed")
 
     # An id whose rows have several texts ties their classes together.
     owned = sets.join(classes.select("n_shingles", "s1", "s2", "class"), ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class"))
