@@ -2,16 +2,46 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import near_dup
-from millrace.llm.common import read_table
+from millrace.llm import language_id, media, near_dup, sentencepiece_codec, suffix_dedup, token_counts
+from millrace.llm.common import held_out, read_table
 
 ORACLE: dict[str, str] = {}
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(read_table(spark, sf_dir, "documents"))
+
+
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(read_table(spark, sf_dir, "documents"))
+
+
+def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_minhash_near_dedup": op8_minhash_near_dedup}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language_id.identify(docs, held_out(F.col("doc_id")))
+
+
+QUERIES = {
+    "op1_media_columns": op1_media_columns,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_sentencepiece_codec": op5_sentencepiece_codec,
+    "op7_token_counts": op7_token_counts,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_language_id": op9_language_id,
+}
