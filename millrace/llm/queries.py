@@ -6,16 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language_id, media, near_dup, sentencepiece_codec, suffix_dedup, token_counts
+from millrace.llm import language_id, licenses, media, mixing, near_dup, quality_cnn, quality_rules, sentencepiece_codec, suffix_dedup, token_counts
 from millrace.llm.common import held_out, read_table
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_license_scans": licenses.oracle()}
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(read_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), held_out(F.col("doc_id")))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(read_table(spark, sf_dir, "documents"))
 
@@ -24,6 +32,10 @@ def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -37,11 +49,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, held_out(F.col("doc_id")))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_rates(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_media_columns": op1_media_columns,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_sentencepiece_codec": op5_sentencepiece_codec,
+    "op6_license_scans": op6_license_scans,
     "op7_token_counts": op7_token_counts,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_language_id": op9_language_id,
+    "op10_mixing": op10_mixing,
 }
