@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.expressions import column, tokens_to_null
+from millrace.functions.expressions import column, quoted, tokens_to_null
 from millrace.model import ImportOptions
 from millrace.plans.errors import ColumnsMismatch, FileNotFound, MalformedInput
 from millrace.sources import paths
@@ -93,8 +93,9 @@ class FileSource:
         texts = self._whole_files(spark, files)
         lines = texts.select(F.regexp_replace("text", rf"^(?:[^\n]*\n){{{skip - 1}}}", "").alias("text"))
         parts = lines.select(F.explode(self._records("text")).alias("record")).where("trim(record, '\r\n') <> ''")
-        parsed = parts.select(F.from_csv("record", F.lit(schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")), {"sep": f.delimiter, "quote": quote, "escape": quote, "nullValue": _ABSENT, "emptyValue": "", "mode": "FAILFAST", "multiLine": "true"}).alias("r"), "number" if "number" in parts.columns else F.lit(1).alias("number"))
-        return parsed.select("r.*")
+        ddl = ", ".join(f"{quoted(c)} string" for c in self.columns)
+        options = {"sep": f.delimiter, "quote": quote, "escape": quote, "nullValue": _ABSENT, "emptyValue": "", "mode": "FAILFAST", "multiLine": "true"}
+        return parts.select(F.from_csv("record", F.lit(ddl), options).alias("r")).select("r.*")
 
     def _whole_files(self, spark: SparkSession, files: Sequence[str]) -> DataFrame:
         read = spark.read.option("recursiveFileLookup", self.directory and self.recursive)
@@ -109,11 +110,15 @@ class FileSource:
     def _escaped(self, spark: SparkSession, files: Sequence[str], skip: int) -> DataFrame:
         """Unenclosed fields with an escape character: a delimiter or line break after it belongs to the field."""
         sep, esc = (f"\\x{ord(c):02x}" for c in (self.format.delimiter, self.format.escaped_by))
-        text = self._whole_files(spark, files)
         if skip:
-            text = text.select(F.regexp_replace("text", rf"^(?:[^\n]*\n){{{skip}}}", "").alias("text"))
-        # A field is a run of escaped pairs and plain characters, so any number of escapes in a row is read right.
-        lines = text.select(F.explode(F.regexp_extract_all("text", F.lit(rf"(?:{esc}[\s\S]|[^{esc}\n])+"), F.lit(0))).alias("line"))
+            # Leading lines are those of a whole file; without any, files are read line by line and can be split.
+            text = self._whole_files(spark, files).select(F.regexp_replace("text", rf"^(?:[^\n]*\n){{{skip}}}", "").alias("text"))
+            # A field is a run of escaped pairs and plain characters, so any number of escapes in a row is read right.
+            lines = text.select(F.explode(F.regexp_extract_all("text", F.lit(rf"(?:{esc}[\s\S]|[^{esc}\n])+"), F.lit(0))).alias("line"))
+        else:
+            lines = spark.read.option("recursiveFileLookup", self.directory and self.recursive).text(list(files)).where("value <> ''")
+            cut = F.raise_error(F.lit("MALFORMED_RECORD: an escaped line break needs a header line to be skipped, which reads whole files"))
+            lines = lines.select(F.when(F.col("value").rlike(rf"^(?:{esc}[\s\S]|[^{esc}])*$"), F.col("value")).otherwise(cut.cast("string")).alias("line"))
         fields = F.regexp_extract_all(F.concat(F.lit(self.format.delimiter), "line"), F.lit(rf"{sep}((?:{esc}[\s\S]|[^{esc}{sep}])*)"), F.lit(1))
         rows = lines.select(F.transform(fields, lambda x: F.regexp_replace(x, rf"{esc}([\s\S])", "$1")).alias("f"))
         wrong = F.raise_error(F.concat(F.lit(f"MALFORMED_RECORD: {len(self.columns)} fields expected, found "), F.size("f").cast("string")))
