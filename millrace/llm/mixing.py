@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, prepare, slices, utf8
+from millrace.llm.common import materialise, prepare, slices
 from millrace.llm.quality_rules import CLASSES, WORD_BINS, facts
 
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.90, "low": 0.06, "toxic": 0.04}
-FIT_ROWS, FIT_BYTES, SEEN_IN, FIT_STEPS, FIT_RATE, FIT_RIDGE = 4000, 1 << 15, 8, 250, 0.1, 2e-5
+FIT_ROWS, FIT_BYTES, SEEN_IN, FIT_STEPS, FIT_RATE, FIT_RIDGE = 4000, 1 << 15, 8, 120, 0.15, 2e-5
 RIDGE, MAX_STEPS, TOLERANCE = 1e-4, 60, 2e-4
 DENSE = CLASSES + 5
 
@@ -88,7 +88,14 @@ def fit_domains(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     found = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("domain").alias("domain")).toArrow().sort_by("doc_id")
     if not found.num_rows:
         return None
-    _, dense, bins, owner = features(*utf8(found.column("text")))
+    parts, n = [], 0
+    for batch in found.to_batches():
+        # Features come slice by slice, so the driver never holds more than one slice's arrays.
+        for part, data, off in slices(batch, "text", 1 << 19):
+            _, dense, bins, owner = features(data, off)
+            parts.append((dense.astype(np.float32), bins.astype(np.int32), (owner + n).astype(np.int32)))
+            n += part.num_rows
+    dense, bins, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
     out = DomainClassifier()
     out.fit(dense, bins, owner, np.asarray(found.column("domain")))
     return out
