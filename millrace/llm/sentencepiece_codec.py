@@ -1,8 +1,10 @@
 """SentencePiece models run by the tokenizers library.
 
 The model's protobuf is parsed here; normaliser, metaspace marker, scores and byte fallback are rebuilt from it, for
-unigram and BPE models. New distinct pieces of a batch are encoded together by the library's threads. Every text is
-also encoded by the model's own library: where the two differ, ``parity`` is false and the own library's ids are used.
+unigram and BPE models. Texts are cut where no piece can reach across, and the distinct words that are new to a process
+are encoded together by the library's threads. Parity is verified on each of them: the model's own library encodes every
+such word too (or every whole text, where a model cannot be cut). Where the two differ, ``parity`` is false for all texts
+that hold the word, and the own library's ids are used.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ from millrace.llm.common import prepare, slices
 MARK = "\u2581"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-REMEMBERED = 300_000
+REMEMBERED, TOGETHER = 400_000, 48
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -115,41 +118,86 @@ class Codec:
         self.tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if m.dummy_prefix else [])])
         # No piece goes on with a mark after another character, so texts may be cut before each run of marks.
         self.cut = not any(re.search(f"[^{MARK}]{MARK}", piece) for piece in usable)
-        self.known: dict[str, list[int]] = {}
+        # A word alone and within its text are the same to the own library only if normalising leaves it as it is.
+        self.by_word = self.cut and self.plain and m.dummy_prefix
+        self.known: dict[str, bytes] = {}
+        self.odd: set[str] = set()
+        # Characters that an id stands for: a fallback byte counts if it begins a character.
+        self.width = np.array([(kind != BYTE or not 0x80 <= int(piece[3:-1], 16) < 0xC0) * (1 if kind == BYTE else len(piece)) for piece, _, kind in m.pieces], np.int64)
+        self.bytes = [self._bytes_of(piece, kind) for piece, _, kind in m.pieces]
+
+    @staticmethod
+    def _bytes_of(piece: str, kind: int) -> bytes:
+        return bytes([int(piece[3:-1], 16)]) if kind == BYTE else piece.replace(MARK, " ").encode("utf-8")
 
     def normalise(self, text: str) -> str:
         if self.plain:
             return (MARK if self.model.dummy_prefix and text else "") + text.replace(" ", MARK)
         return self.normaliser.normalize_str(text)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = [_WORD.findall(t) if self.cut else [t] for t in map(self.normalise, texts)]
-        known = self.known
-        new = list({w for words in cut for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list({w for words in cut for w in words})
-            for s in range(0, len(new), 20_000):
-                part = new[s : s + 20_000]
-                for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[word] = e.ids
-        out = []
-        for words in cut:
-            ids: list[int] = []
-            for word in words:
-                ids += known[word]
-            out.append(ids)
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words; where texts can be cut, ``TOGETHER`` words run as one text and their ids are parted again."""
+        if not self.by_word:
+            for word, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+                self.known[word] = pack(f"<{len(e.ids)}i", *e.ids)
+            return
+        # Runs of marks alone, which end a text, would grow into the next word.
+        for word in [w for w in words if w[-1] == MARK]:
+            ids, own = self.tokenizer.encode(word, add_special_tokens=False).ids, self.own.encode(" " * (len(word) - 1)) if len(word) > 1 else [self.own.piece_to_id(MARK)]
+            if ids != own:
+                self.odd.add(word)
+            self.known[word] = pack(f"<{len(own)}i", *own)
+        words = [w for w in words if w[-1] != MARK]
+        groups = [words[s : s + TOGETHER] for s in range(0, len(words), TOGETHER)]
+        for s in range(0, len(groups), 1000):
+            part = groups[s : s + 1000]
+            joined = ["".join(g) for g in part]
+            ours = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+            theirs = self.own.encode([j[1:].replace(MARK, " ") for j in joined], num_threads=1)
+            for group, ids, own in zip(part, ours, theirs, strict=True):
+                ids_of = self._parted(group, ids)
+                if ids != own:
+                    for k, other in enumerate(self._parted(group, own)):
+                        if other != ids_of[k]:
+                            self.odd.add(group[k])
+                            ids_of[k] = other
+                self.known.update(zip(group, ids_of, strict=True))
+
+    def _parted(self, group: list[str], ids: list[int]) -> list[bytes]:
+        """Ids of each word of a joined text, by the characters that ids stand for; each word begins at a token."""
+        own = np.array(ids, "<i4")
+        ends = np.searchsorted(np.cumsum(self.width[own]), np.cumsum([len(w) for w in group]), side="right")
+        # Ids without a character of their own (continuation bytes) go with the character before.
+        raw, out, at = own.tobytes(), [], 0
+        for end in (4 * ends).tolist():
+            out.append(raw[at:end])
+            at = end
         return out
 
-    def checked(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-        """Ids, and whether both libraries agree; where they do not, the ids are the own library's."""
-        ours, theirs = self.encode(texts), self.own.encode(texts, num_threads=1)
-        same = [a == b for a, b in zip(ours, theirs, strict=True)]
-        return [a if s else b for a, b, s in zip(ours, theirs, same, strict=True)], same
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Ids of each text as little-endian 32-bit numbers, and whether both libraries agree on it."""
+        cut = [_WORD.findall(t) if self.cut else [t] * bool(t) for t in map(self.normalise, texts)]
+        known = self.known
+        new = list({w for words in cut for w in words if w not in known})
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            self.odd.clear()
+            new = list({w for words in cut for w in words})
+        self._learn(new)
+        ids = [b"".join(map(known.__getitem__, words)) for words in cut]
+        if self.by_word:
+            return ids, [not self.odd or self.odd.isdisjoint(words) for words in cut]
+        theirs = [np.array(i, "<i4").tobytes() for i in self.own.encode(texts, num_threads=1)]
+        same = [a == b for a, b in zip(ids, theirs, strict=True)]
+        return [a if s else b for a, b, s in zip(ids, theirs, same, strict=True)], same
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        """Texts of ids: pieces and fallback bytes in order, marks as spaces, without the dummy prefix."""
+        out = []
+        for own in ids:
+            raw = b"".join(map(self.bytes.__getitem__, own))
+            out.append((raw[1:] if self.model.dummy_prefix and raw[:1] == b" " else raw).decode("utf-8", "replace"))
+        return out
 
 
 def re_spaces():
@@ -176,9 +224,9 @@ def _digests(path: str):
         for whole in batches:
             for part, _, off in slices(whole, "text", 1 << 20):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                ids, same = coder.checked(texts)
-                back = coder.decode(ids)
-                columns = [part.column("doc_id").cast(pa.int64()), off[1:] - off[:-1], [len(i) for i in ids], [hashlib.sha256(np.array(i, "<i4").tobytes()).hexdigest() for i in ids]]
+                ids, same = coder.encode(texts)
+                back = coder.decode([np.frombuffer(i, "<i4").tolist() for i in ids])
+                columns = [part.column("doc_id").cast(pa.int64()), off[1:] - off[:-1], [len(i) // 4 for i in ids], [hashlib.sha256(i).hexdigest() for i in ids]]
                 columns += [[hashlib.sha256(b.encode("utf-8")).hexdigest() for b in back], [a == b for a, b in zip(texts, back, strict=True)], same]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
@@ -203,8 +251,10 @@ def _ids(path: str):
         coder = codec(path)
         for whole in batches:
             for part, _, _ in slices(whole, "text", 1 << 20):
-                ids, same = coder.checked([t or "" for t in part.column("text").to_pylist()])
-                columns = [part.column("doc_id").cast(pa.int64()), part.column("lang"), part.column("source"), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)]
+                ids, same = coder.encode([t or "" for t in part.column("text").to_pylist()])
+                size = np.array([len(i) // 4 for i in ids], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                columns = [part.column("doc_id").cast(pa.int64()), part.column("lang"), part.column("source"), pa.array(size), lists, pa.array(same)]
                 yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     return run
