@@ -33,7 +33,7 @@ from millrace.llm import kernel as K
 from millrace.llm.common import materialise, prepare, slices
 
 GRAM = 24
-BLOCK_BYTES, PIECE_BYTES, BUCKET_BYTES = 4 << 20, 1 << 20, 24 << 20
+BLOCK_BYTES, PIECE_BYTES, BUCKET_BYTES = 4 << 20, 1 << 20, 6 << 20
 SAMPLES = 16
 _POSITION = np.uint64((1 << 24) - 1)
 LAST = np.iinfo(np.int64).max
@@ -425,8 +425,9 @@ def _cut_out(extra_schema: pa.Schema | None):
 def _find_runs(docs: DataFrame, length: int, keep_extra: bool) -> tuple[DataFrame, DataFrame]:
     blocks = materialise(docs.mapInArrow(_pack(keep_extra), "block long, raw long, ids array<long>, sizes array<int>, lead array<long>, payload binary, extra binary"), "blocks")
     total = blocks.agg(F.sum("raw")).first()[0] or 0
-    buckets = max(8, total // BUCKET_BYTES)
-    parts = max(8, buckets // 2)
+    # Many more buckets than partitions even the partitions out; a task sorts one bucket at a time.
+    buckets = max(32, total // BUCKET_BYTES)
+    parts = max(8, buckets // 5)
     slim = blocks.select("block", "ids", "sizes", "payload")
     hashes = slim.mapInArrow(_block_hashes(buckets, length), "bucket int, block long, body binary")
     replies = hashes.repartition(parts, "bucket").mapInArrow(_repeated, "block long, body binary")
