@@ -62,7 +62,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Split a batch so that each part holds at most about ``limit`` bytes of text (one longer text stands alone)."""
     if not batch.num_rows:
         return

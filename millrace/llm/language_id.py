@@ -177,13 +177,13 @@ def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     return rows.mapInArrow(_predict(names, spark.sparkContext.broadcast(model)), "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, proportions array<double>")
 
 
-def _accept(names: list[str], shared, schema: pa.Schema):
+def _accept(names: list[str], shared, text: str, schema: pa.Schema):
     def run(batches):
         model = shared.value
         for whole in batches:
-            for part, data, off in slices(whole, "text"):
+            for part, data, off in slices(whole, text):
                 langs = predict_slice(data, off, names, model)[0]
-                yield part.filter(pa.array([x != UNDETERMINED for x in langs])).drop_columns(["text"]).rename_columns(schema.names)
+                yield part.filter(pa.array([x != UNDETERMINED for x in langs])).cast(schema)
 
     return run
 
@@ -194,8 +194,6 @@ def keep_identified(docs: DataFrame, held_out: Column, text_col: str = "text", l
 
     spark = prepare(docs)
     names, model = learn(docs.where(~held_out), text_col, lang_col)
-    inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    plain = inner.schema
-    with_text = inner.withColumn("text", F.col(f"c{docs.columns.index(text_col)}").cast("string"))
-    kept = with_text.mapInArrow(_accept(names, spark.sparkContext.broadcast(model), to_arrow_schema(plain)), plain)
-    return kept.toDF(*docs.columns)
+    inner = docs.select(*[(F.col(c).cast("string") if c == text_col else F.col(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    accept = _accept(names, spark.sparkContext.broadcast(model), f"c{docs.columns.index(text_col)}", to_arrow_schema(inner.schema))
+    return inner.mapInArrow(accept, inner.schema).toDF(*docs.columns)

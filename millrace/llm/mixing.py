@@ -105,14 +105,15 @@ _P = [(f"p_{d}", pa.float64()) for d in DOMAINS]
 _P_SQL = ", ".join(f"p_{d} double" for d in DOMAINS)
 
 
-def _posteriors(shared, schema: pa.Schema):
+def _posteriors(shared, schema: pa.Schema, text: str = "text", keep_text: bool = False):
     def run(batches):
         model = shared.value
         for whole in batches:
-            for part, data, off in slices(whole, "text"):
+            for part, data, off in slices(whole, text):
                 words, dense, bins, owner = features(data, off)
+                part = part if keep_text else part.drop_columns([text])
                 p = model.posteriors(dense, bins, owner) if model else np.full((len(words), len(DOMAINS)), 1 / len(DOMAINS))
-                yield pa.RecordBatch.from_arrays([*part.drop_columns(["text"]).columns, pa.array(words), *[pa.array(p[:, d]) for d in range(len(DOMAINS))]], schema=schema)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(words), *[pa.array(p[:, d]) for d in range(len(DOMAINS))]], schema=schema)
 
     return run
 
@@ -215,10 +216,10 @@ def keep_drawn(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | N
     others = docs.columns
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shared = spark.sparkContext.broadcast(fit_domains(rows, labels))
-    inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)])
+    inner = docs.select(*[(F.col(c).cast("string") if c == text_col else F.col(c)).alias(f"c{i}") for i, c in enumerate(others)])
     sql = inner.withColumns({"tokens": F.lit(0).cast("long"), **{k: F.lit(0.0) for k, _ in _P}}).schema
-    text = inner.withColumn("text", F.col(f"c{others.index(text_col)}").cast("string"))
-    mix = materialise(text.mapInArrow(_posteriors(shared, to_arrow_schema(sql)), sql), "mix")
+    text = f"c{others.index(text_col)}"
+    mix = materialise(inner.mapInArrow(_posteriors(shared, to_arrow_schema(sql), text, True), sql), "mix")
     history, step = fit_rates(mix.select("tokens", *[k for k, _ in _P]), targets or TARGETS)
     rated = mix.withColumn("rate", F.lit(0.0)).schema
     out = mix.mapInArrow(_rates(history, step, to_arrow_schema(rated)), rated)

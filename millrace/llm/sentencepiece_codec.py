@@ -26,7 +26,7 @@ from millrace.llm.common import prepare, slices
 MARK = "\u2581"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-REMEMBERED, TOGETHER = 400_000, 48
+REMEMBERED, TOGETHER = 300_000, 48
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -130,6 +130,11 @@ class Codec:
     def _bytes_of(piece: str, kind: int) -> bytes:
         return bytes([int(piece[3:-1], 16)]) if kind == BYTE else piece.replace(MARK, " ").encode("utf-8")
 
+    def forget(self) -> None:
+        """Drop what was learned from texts, so that an idle process holds no memory for it."""
+        self.known.clear()
+        self.odd.clear()
+
     def normalise(self, text: str) -> str:
         if self.plain:
             return (MARK if self.model.dummy_prefix and text else "") + text.replace(" ", MARK)
@@ -180,8 +185,7 @@ class Codec:
         known = self.known
         new = list({w for words in cut for w in words if w not in known})
         if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            self.odd.clear()
+            self.forget()
             new = list({w for words in cut for w in words})
         self._learn(new)
         ids = [b"".join(map(known.__getitem__, words)) for words in cut]
@@ -229,6 +233,7 @@ def _digests(path: str):
                 columns = [part.column("doc_id").cast(pa.int64()), off[1:] - off[:-1], [len(i) // 4 for i in ids], [hashlib.sha256(i).hexdigest() for i in ids]]
                 columns += [[hashlib.sha256(b.encode("utf-8")).hexdigest() for b in back], [a == b for a, b in zip(texts, back, strict=True)], same]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+        coder.forget()
 
     return run
 
@@ -256,6 +261,7 @@ def _ids(path: str):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 columns = [part.column("doc_id").cast(pa.int64()), part.column("lang"), part.column("source"), pa.array(size), lists, pa.array(same)]
                 yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+        coder.forget()
 
     return run
 
