@@ -92,7 +92,7 @@ class FileSource:
         # More leading lines than one: cut them off each file's text, then let the same parser read the records.
         texts = self._whole_files(spark, files)
         lines = texts.select(F.regexp_replace("text", rf"^(?:[^\n]*\n){{{skip - 1}}}", "").alias("text"))
-        parts = lines.select(F.explode(self._records("text")).alias("record")).where("trim(record, '\r\n') <> ''")
+        parts = lines.select(F.explode(self._records("text")).alias("record")).where(F.col("record").rlike("[^\r\n]"))
         ddl = ", ".join(f"{quoted(c)} string" for c in self.columns)
         options = {"sep": f.delimiter, "quote": quote, "escape": quote, "nullValue": _ABSENT, "emptyValue": "", "mode": "FAILFAST", "multiLine": "true"}
         return parts.select(F.from_csv("record", F.lit(ddl), options).alias("r")).select("r.*")

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from millrace.model import ImportOptions
 from millrace.plans.loads import Loader
+from millrace.plans.store import TableStore
 from millrace.sources.tables import FrameSource
 
 LAST_BATCH = "millrace.stream."
@@ -19,7 +20,9 @@ def load_stream(stream: DataFrame, loader: Loader, table: str, options: ImportOp
     def one(batch: DataFrame, number: int) -> None:
         if number <= int(store.properties(table).get(key, "-1")):
             return
-        loader.load(FrameSource(batch), table, options)
+        # A batch lives in the stream's own session; all of its load runs there, so that its row counts are seen.
+        own = TableStore(batch.sparkSession, store.root, store.schema)
+        Loader(own).load(FrameSource(batch), table, options)
         store.spark.sql(f"ALTER TABLE {store.name(table)} SET TBLPROPERTIES ('{key}' = '{number}')")
 
     writer = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
