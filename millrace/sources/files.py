@@ -99,7 +99,7 @@ class FileSource:
 
     def _whole_files(self, spark: SparkSession, files: Sequence[str]) -> DataFrame:
         read = spark.read.option("recursiveFileLookup", self.directory and self.recursive)
-        return read.option("wholetext", True).text(list(files)).select(F.regexp_replace("value", "\r\n", "\n").alias("text"))
+        return read.text(list(files), wholetext=True).select(F.regexp_replace("value", "\r\n", "\n").alias("text"))
 
     def _records(self, name: str):
         """Records of a text: line breaks outside of enclosures part them. The first one, a header line, is left out."""

@@ -75,7 +75,7 @@ def test_names_by_base_type():
 def test_spark_types():
     assert TypeDef("snowflake", "NUMBER", "10,2").spark() == T.DecimalType(10, 2)
     assert TypeDef("bigquery", "NUMERIC").spark() == T.DecimalType(38, 9)
-    assert TypeDef("bigquery", "BIGNUMERIC", "60,20").spark() == T.StringType()
+    assert TypeDef("bigquery", "BIGNUMERIC", "58,20").spark() == T.StringType()
     assert TypeDef("snowflake", "VECTOR", "FLOAT,3").spark() == T.ArrayType(T.FloatType())
     assert TypeDef("snowflake", "VARIANT").spark() == T.VariantType()
     assert TypeDef("snowflake", "TIMESTAMP").spark() == T.TimestampNTZType()
