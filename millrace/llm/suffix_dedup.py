@@ -185,6 +185,14 @@ def bucket_repeats(data: np.ndarray, at: np.ndarray, size: np.ndarray, anchor: n
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
+def _equal_runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """First and end of each run of equal values; none for an empty array."""
+    if not len(values):
+        return []
+    cut = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])).tolist()
+    return list(zip(cut[:-1], cut[1:], strict=True))
+
+
 def join_runs(*columns: np.ndarray) -> list[np.ndarray]:
     """Join overlapping and touching [start, end) runs; the last two columns are start and end, the others the owner."""
     order = np.lexsort(columns[::-1])
@@ -324,9 +332,8 @@ def _stretches(splitters: np.ndarray, length: int):
             meta = np.empty(len(a), _META)
             meta["doc"], meta["text"], meta["start"], meta["size"], meta["anchor"] = ids[t], t, lo - off[t], hi + length - lo, a - lo
             meta["low"], meta["high"] = low, high
-            cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
             packer = zstandard.ZstdCompressor(level=1)
-            for s, e in zip(cut, [*cut[1:], len(b)], strict=True):
+            for s, e in _equal_runs(b):
                 size = meta["size"][s:e].astype(np.int64)
                 index = np.repeat(lo[s:e] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
                 body = np.int64(e - s).tobytes() + meta[s:e].tobytes() + data[index].tobytes()
@@ -365,8 +372,7 @@ def _sort_bucket(length: int):
             rows, begin, end = bucket_repeats(data, np.cumsum(size) - size, size, part[0], rank, length, part[1], part[2])
             start = meta["start"][rows].astype(np.int64)
             block, text, start, end = join_runs(block[rows], meta["text"][rows].astype(np.int64), start + begin, start + end + length)
-            cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
-            for s, e in zip(cut, [*cut[1:], len(block)], strict=True):
+            for s, e in _equal_runs(block):
                 yield pa.RecordBatch.from_pylist([{"block": int(block[s]), "text": text[s:e], "start": start[s:e], "end": end[s:e]}], schema=RUNS)
 
     return run
@@ -469,7 +475,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others = [c for c in names if c != text_col]
     inner = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)])
     blocks, runs = _find_runs(inner, length, True)
-    result = inner.drop("doc_id", "text").withColumn("out_text", F.lit("").cast("string")).withColumn("out_removed", F.lit(0).cast("long")).schema
+    result = inner.drop("doc_id", "text").withColumn("out_text", F.lit(None).cast("string")).withColumn("out_removed", F.lit(None).cast("long")).schema
     blocks = blocks.select("block", "ids", "sizes", "payload", "extra")
     out = blocks.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(_cut_out(to_arrow_schema(result)), result)
     out = out.where("not (out_removed > 0 and out_text = '')")
