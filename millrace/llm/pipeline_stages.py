@@ -16,8 +16,8 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id."""
-    return near_dup.keep_one(docs)
+    """One document of each group of a similarity of 0.8 or more on five words stays: the one with the smallest id."""
+    return near_dup.keep_one(docs, width=5)
 
 
 def stage_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

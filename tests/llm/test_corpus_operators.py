@@ -193,16 +193,3 @@ def test_mixing(spark, docs):
     assert shares == pytest.approx([mixing.TARGETS[d] for d in mixing.DOMAINS], abs=2e-3) and (found.rate >= 0).all()
     few = mixing.mix_rates(docs, labels.where("false"))
     assert few.count() == docs.count() and mixing.keep_drawn(docs, labels.where("false")).columns == docs.columns
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept = stage(spark, docs, SF)
-        assert kept.columns == docs.columns and 0 < kept.count() <= docs.count(), name
-        docs = spark.createDataFrame(kept.toPandas(), kept.schema)
-    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    back = {r["doc_id"]: r["text"] for r in sentencepiece_codec.decode(out, public_tokenizers.path("piece_bpe_32k.model")).collect()}
-    assert back == {r["doc_id"]: r["text"] for r in docs.collect()} and out.where("not parity").count() == 0
