@@ -7,9 +7,10 @@ place. Only suffixes at anchors are sorted, about one in forty.
 1. Texts are packed into blocks. Each block sends its anchors' hashes to hash buckets; a bucket answers which occur in
    several blocks. A passage in a third of all documents costs one entry for each block.
 2. Blocks cut the stretch that an anchor rules (all strings whose anchor it is) out of the text for repeated anchors
-   only. Splitters sampled from the corpus range-partition these suffixes by their leading bytes. A leading key that
-   takes several splitters is hot: it is dealt to as many buckets by the anchor's offset in the string, since strings
-   can only be equal at equal offsets.
+   only. Equal stretches of a block are settled there: all but its first go, and only that one is sent on, so a hot
+   passage costs one row for each block. Splitters sampled from the corpus range-partition the suffixes by their leading
+   bytes. A leading key that takes several splitters is hot: it is dealt to as many buckets by the anchor's offset in
+   the string, since strings can only be equal at equal offsets.
 3. A bucket sorts by multikey quicksort, eight bytes at a time, going on with ties only. Equal stretches are one class:
    all but its first member go. First members of different classes with one anchor are compared string by string.
    Splitters never part equal leading keys except by offset, so no equal strings meet across a bucket's boundary.
@@ -290,6 +291,18 @@ def _repeated(batches):
 _META = np.dtype([("doc", "<i8"), ("text", "<i4"), ("start", "<i4"), ("size", "<u2"), ("anchor", "u1"), ("low", "u1"), ("high", "u1")])
 
 
+def _settled(data, ids, a, lo, size, t, b, low, high) -> np.ndarray:
+    """Stretches of a block that equal an earlier one of the block byte by byte, with the same anchor and offsets."""
+    word = _words(np.concatenate([data, np.zeros(8, np.uint8)]))
+    shape = (size << 32 | (a - lo) << 16 | low << 8 | high).astype(np.uint64)
+    most = int(size.max()) if len(size) else 0
+    levels = [lambda r: shape[r], *[lambda r, d=d: word[lo[r] + np.minimum(d, size[r] - 8)].astype(np.uint64) for d in range(0, most, 8)]]
+    rows, cls = multikey(np.arange(len(a)), b, levels)
+    rank = np.empty(len(a), np.int64)
+    rank[np.lexsort((lo, t, ids[t]))] = np.arange(len(a))
+    return not_first(rows, cls, rank)
+
+
 def _stretches(splitters: np.ndarray, length: int):
     """Cut out what the repeated anchors of a block rule, and deal it to buckets by leading bytes."""
 
@@ -311,8 +324,9 @@ def _stretches(splitters: np.ndarray, length: int):
             if not len(g):
                 continue
             values, inverse, count = np.unique(g, return_inverse=True, return_counts=True)
-            use = ((count > 1) | np.isin(values, told, assume_unique=False))[inverse]
-            a, lo, hi, t = a[use], lo[use], hi[use], t[use]
+            elsewhere = np.isin(values, told)[inverse]
+            use = (count > 1)[inverse] | elsewhere
+            a, lo, hi, t, code, elsewhere = (x[use] for x in (a, lo, hi, t, inverse, elsewhere))
             lead = _words(np.concatenate([data, np.zeros(8, np.uint8)]))[a].astype(np.uint64)
             one, two = np.searchsorted(splitters, lead, side="left"), np.searchsorted(splitters, lead, side="right")
             ways = np.clip(two - one, 1, length - GRAM + 1)
@@ -323,21 +337,32 @@ def _stretches(splitters: np.ndarray, length: int):
             way = np.arange(len(pick)) - np.repeat(np.cumsum(share) - share, share)
             span = length - GRAM + 1
             low, high = span * way // share[pick], span * (way + 1) // share[pick] - 1
-            a, lo, hi, t, b = a[pick], lo[pick], hi[pick], t[pick], bucket[pick] + way
+            a, lo, hi, t, code, elsewhere, b = *(x[pick] for x in (a, lo, hi, t, code, elsewhere)), bucket[pick] + way
             lo, hi = np.maximum(lo, a - high), np.minimum(hi, a - low)
             good = lo <= hi
-            a, lo, hi, t, b, low, high = (x[good] for x in (a, lo, hi, t, b, low, high))
-            order = np.argsort(b, kind="stable")
+            a, lo, hi, t, code, elsewhere, b, low, high = (x[good] for x in (a, lo, hi, t, code, elsewhere, b, low, high))
+            packer = zstandard.ZstdCompressor(level=1)
+            number = left.column("block")[i].as_py()
+            later = _settled(data, ids, a, lo, hi + length - lo, t, b, low, high)
+            if len(later):
+                runs = join_runs(t[later], lo[later] - off[t[later]], hi[later] + length - off[t[later]])
+                rows.append({"bucket": -1 - ((number >> 33) * 31 + number & 0x3FFFFFFF), "block": number, "body": packer.compress(np.stack(runs).astype(np.int32).tobytes())})
+            send = np.ones(len(a), bool)
+            send[later] = False
+            # An anchor that only this block holds is sent on if stretches that differ share it.
+            _, place, many = np.unique(code[send] * (len(splitters) + length) + b[send], return_inverse=True, return_counts=True)
+            send[send] = (many[place] > 1) | elsewhere[send]
+            kept = np.flatnonzero(send)
+            order = kept[np.argsort(b[kept], kind="stable")]
             a, lo, hi, t, b, low, high = (x[order] for x in (a, lo, hi, t, b, low, high))
             meta = np.empty(len(a), _META)
             meta["doc"], meta["text"], meta["start"], meta["size"], meta["anchor"] = ids[t], t, lo - off[t], hi + length - lo, a - lo
             meta["low"], meta["high"] = low, high
-            packer = zstandard.ZstdCompressor(level=1)
             for s, e in _equal_runs(b):
                 size = meta["size"][s:e].astype(np.int64)
                 index = np.repeat(lo[s:e] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
                 body = np.int64(e - s).tobytes() + meta[s:e].tobytes() + data[index].tobytes()
-                rows.append({"bucket": int(b[s]), "block": left.column("block")[i].as_py(), "body": packer.compress(body)})
+                rows.append({"bucket": int(b[s]), "block": number, "body": packer.compress(body)})
         return pa.Table.from_pylist(rows, schema=FRAGMENTS)
 
     return run
@@ -351,10 +376,14 @@ def _sort_bucket(length: int):
 
     def run(batches):
         by_bucket: dict[int, list[tuple[int, bytes]]] = {}
+        opener = zstandard.ZstdDecompressor()
         for batch in batches:
             for bucket, block, body in zip(*(batch.column(k).to_pylist() for k in ("bucket", "block", "body")), strict=True):
-                by_bucket.setdefault(bucket, []).append((block, body))
-        opener = zstandard.ZstdDecompressor()
+                if bucket < 0:
+                    text, start, end = np.frombuffer(opener.decompress(body), np.int32).reshape(3, -1)
+                    yield pa.RecordBatch.from_pylist([{"block": block, "text": text, "start": start, "end": end}], schema=RUNS)
+                else:
+                    by_bucket.setdefault(bucket, []).append((block, body))
         for bucket in sorted(by_bucket):
             metas, blocks, bytes_ = [], [], []
             for block, body in sorted(by_bucket.pop(bucket)):
