@@ -1,4 +1,8 @@
-"""Each pipeline stage on its own input, against plain Python; hot groups of the pair operators."""
+"""Each pipeline stage on its own input; hot groups of the pair operators.
+
+Near-duplicates and repeated passages are held against plain Python, encoding by round trip. Language and mixing are
+held against their own operators' results only: that the stage keeps the rows which the operator says, unchanged.
+"""
 
 import hashlib
 import random
