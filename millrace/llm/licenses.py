@@ -1,8 +1,9 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each normalised to its letters and digits. Known sentences map to identifiers; the
-sequence of a text's identifiers is matched against ordered rules. Sentences that no rule knows do not break a sequence.
-Lines are tried as sentences too, so that a heading without a full stop is found.
+A text is cut into pieces at sentence ends and at blank lines, each normalised to its letters and digits, so comment
+marks are nothing. A known sentence is one or more whole pieces in a row: cuts inside it do not matter. The sequence of a
+text's identifiers is matched against ordered rules. Sentences that no rule knows do not break a sequence. Lines are
+tried as sentences too, so that a heading without a full stop is found.
 """
 
 from __future__ import annotations
@@ -88,18 +89,48 @@ def normalised(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip(" ")
 
 
-def _sentences(lower: Column) -> Column:
-    """Sentences across line breaks: cut after a full stop, question or exclamation mark or colon before white space."""
-    return F.split(F.regexp_replace(lower, r"([.!?:])[ \t\r\n]+", "$1\u0001"), "\u0001")
+def _pieces(lower: Column) -> Column:
+    """Normalised pieces that are not empty: cut after a full stop, question or exclamation mark or colon before white
+    space, at a line without a letter or digit (blank, or a comment mark alone), before a comment opens, after "#!"."""
+    blocks = F.regexp_replace(lower, r"(?>\r\n|\r|\n)[^\p{L}\p{N}\r\n]*(?>\r\n|\r|\n)|(?>\r\n|\r|\n)(?=[ \t]*(?:/\*|<!--))|^#![^\r\n]*", "\u0001")
+    parts = F.split(F.regexp_replace(blocks, r"([.!?:])[ \t\r\n]+", "$1\u0001"), "\u0001")
+    return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))), lambda s: s != "")
 
 
-def _known(parts: Column) -> Column:
-    """Identifiers of the known ones among sentences, in order, each followed by a comma."""
-    table = F.create_map(*[F.lit(x) for key, text in SENTENCES.items() for x in (normalised(text), key)])
-    ids = F.transform(parts, lambda s: F.try_element_at(table, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))))
+def _joined(ids: Column) -> Column:
     return F.concat(F.lit(","), F.array_join(F.filter(ids, lambda x: x.isNotNull()), ","), F.lit(","))
 
 
+def _known_sentences(pieces: Column) -> Column:
+    """Identifiers of the known sentences among pieces, in order, each followed by a comma.
+
+    A sentence starts and ends where a piece does. SPDX tags are lines, not sentences; ``_known_lines`` has them.
+    """
+    known = {normalised(text): key for key, text in SENTENCES.items() if not key.startswith("spdx.")}
+    longest = max(len(text.split()) for text in known)
+    one, two = ({" ".join(text.split()[:n]) for text in known} for n in (1, 2))
+
+    def tails(all_pieces: Column) -> Column:
+        # A piece that may start a known sentence, with as many pieces after it as the longest may have.
+        def tail(piece: Column, k: Column) -> Column:
+            rest = F.concat(F.array_join(F.slice(all_pieces, k + 1, longest), "\u0001"), F.lit("\u0001"))
+            return F.when(piece.isin(sorted(one)) | F.substring_index(piece, " ", 2).isin(sorted(two)), rest)
+
+        return F.filter(F.transform(all_pieces, tail), lambda x: x.isNotNull())
+
+    def identifier(tail: Column) -> Column:
+        return F.coalesce(*[F.when((F.substring(tail, len(text) + 1, 1) == "\u0001") & (F.translate(F.substring(tail, 1, len(text)), "\u0001", " ") == text), F.lit(key)) for text, key in known.items()])
+
+    # The array of one array binds the pieces, which would else be cut again for each of them.
+    return _joined(F.transform(F.element_at(F.transform(F.array(pieces), tails), 1), identifier))
+
+
+def _known_lines(lines: Column) -> Column:
+    """Identifiers of the known ones among lines, in order, each followed by a comma."""
+    table = F.create_map(*[F.lit(x) for key, text in SENTENCES.items() for x in (normalised(text), key)])
+    return _joined(F.transform(lines, lambda s: F.try_element_at(table, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_sentences, sentence_ids, rules, licences)`` for each row.
 
@@ -111,7 +142,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), _UPPER, _LOWER)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("lower"))
     some = F.col("lower").rlike(HINT)
-    rows = rows.select("doc_id", F.when(some, _known(_sentences(F.col("lower")))).otherwise(",,").alias("by_sentence"), F.when(some, _known(F.split("lower", "[\r\n]+"))).otherwise(",,").alias("by_line"))
+    rows = rows.select("doc_id", F.when(some, _known_sentences(_pieces(F.col("lower")))).otherwise(",,").alias("by_sentence"), F.when(some, _known_lines(F.split("lower", "[\r\n]+"))).otherwise(",,").alias("by_line"))
     hit = [F.col("by_sentence").contains(f",{','.join(ids)},") | F.col("by_line").contains(f",{','.join(ids)},") for _, _, ids in RULES]
     held = {licence: None for _, licence, _ in RULES}
     for licence in held:
