@@ -2,8 +2,9 @@
 
 Each language is a distribution over letter trigrams, counted over all rows that may be learned from. A document is a
 mixture of languages: expectation-maximisation estimates its proportions from its trigrams' likelihoods. The set of
-languages is then chosen by penalised likelihood: the first one, two or three by proportion, each further one paying
-``PENALTY`` times the logarithm of the number of trigrams. The answer is the chosen set's largest language.
+languages is then chosen by penalised likelihood: the first one, two and so on by proportion, each further one paying
+``PENALTY`` times the logarithm of the number of trigrams. A text is done once an upper bound on its likelihood under all
+languages shows that no larger set can win. The answer is the chosen set's largest language.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from millrace.llm.common import prepare, slices
 
 BINS = 1 << 16
 MAX_LANGUAGES = 256  # of a model; a label beyond the most frequent ones is refused, not dropped silently
-SMOOTHING, PENALTY, LARGEST_SET = 0.5, 3.0, 3
+SMOOTHING, PENALTY = 0.5, 3.0
 FIRST_STEPS, SET_STEPS = 8, 4
 UNDETERMINED = "und"
 
@@ -96,29 +97,45 @@ def mixtures(data: np.ndarray, off: np.ndarray, model: np.ndarray) -> tuple[np.n
     full = np.flatnonzero(size)
     begin = np.searchsorted(owner, full)
     row = np.searchsorted(full, owner)
+    length = size[full]
     prior = np.full((len(full), langs), 1.0 / langs)
 
-    def step(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        part = p * weights[row]
-        total = np.maximum(part.sum(axis=1), 1e-300)
-        part *= (count / total)[:, None]
-        new = np.add.reduceat(part, begin, axis=0) / size[full][:, None] if len(full) else weights
-        return new, np.add.reduceat(count * np.log(total), begin) if len(full) else np.zeros(0)
+    def step(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weights after one step; the likelihood before it, and a bound on that of any weights over all languages."""
+        if not len(length):
+            return weights, np.zeros(0), np.zeros(0)
+        total = np.maximum((p * weights[row]).sum(axis=1), 1e-300)
+        gain = np.add.reduceat(p * (count / total)[:, None], begin, axis=0) / length[:, None]
+        likelihood = np.add.reduceat(count * np.log(total), begin)
+        # By Jensen's inequality other weights gain at most the logarithm of their mean gain for each trigram.
+        return weights * gain, likelihood, likelihood + length * np.log(np.maximum(gain.max(axis=1), 1.0))
 
     for _ in range(FIRST_STEPS):
-        prior, _ = step(prior)
+        prior, _, _ = step(prior)
     order = np.argsort(-prior, axis=1, kind="stable")
     best, chosen = np.full(len(full), -np.inf), np.zeros((len(full), langs))
-    for k in range(1, min(LARGEST_SET, langs) + 1):
-        weights = np.zeros_like(prior)
-        np.put_along_axis(weights, order[:, :k], np.take_along_axis(prior, order[:, :k], axis=1), axis=1)
+    live, guide, limit = np.arange(len(full)), prior, np.full(len(full), np.inf)
+    for k in range(1, langs + 1):
+        fee = (k - 1) * PENALTY * np.log(np.maximum(length, 2))
+        keep = limit - fee > best[live]
+        if not keep.all():
+            of = keep[row]
+            p, count, row = p[of], count[of], (np.cumsum(keep) - 1)[row[of]]
+            live, guide, limit, length, fee = live[keep], guide[keep], limit[keep], length[keep], fee[keep]
+            begin = np.searchsorted(row, np.arange(len(live)))
+        if not len(live):
+            break
+        weights, first = np.zeros((len(live), langs)), order[live, :k]
+        np.put_along_axis(weights, first, np.take_along_axis(prior[live], first, axis=1), axis=1)
         weights /= weights.sum(axis=1, keepdims=True)
         for _ in range(SET_STEPS if k > 1 else 0):
-            weights, _ = step(weights)
-        _, likelihood = step(weights)
-        value = likelihood - (k - 1) * PENALTY * np.log(np.maximum(size[full], 2))
-        better = value > best
-        best[better], chosen[better] = value[better], weights[better]
+            weights, _, _ = step(weights)
+        _, likelihood, bound = step(weights)
+        guide, _, wider = step(guide)
+        limit = np.minimum(limit, np.minimum(bound, wider))
+        value = likelihood - fee
+        better = value > best[live]
+        best[live[better]], chosen[live[better]] = value[better], weights[better]
     wide, within = np.zeros((n, langs)), np.zeros((n, langs))
     wide[full], within[full] = prior, chosen
     return size.astype(np.int64), wide, within
