@@ -1,13 +1,14 @@
 """Mixing to target weights with soft membership.
 
 A classifier fitted on a labelled table gives every document posterior probabilities of the domains ``clean``,
-``low`` and ``toxic``. Document rates then solve a nonnegative least-squares problem by accelerated projected gradient:
+``low`` and ``toxic``. Document rates then solve a nonnegative least-squares problem:
 
     minimise over r >= 0:  |sum_i r_i t_i p_i / T - target|^2 / 2  +  RIDGE / (2 T) * sum_i t_i (r_i - 1)^2
 
-with ``t_i`` the document's tokens, ``p_i`` its posteriors and ``T`` the corpus' tokens. A gradient step on a rate needs
-only the document's own posteriors and the few domain totals, so each step is one distributed sum over the documents;
-tasks replay the short history of totals, and no rate is stored or collected while fitting.
+with ``t_i`` the document's tokens, ``p_i`` its posteriors and ``T`` the corpus' tokens. At the optimum the residual
+``y`` of the domains fixes all rates, ``r_i = max(0, 1 - p_i y / RIDGE)``, so the dual problem has one unknown for each
+domain. Newton's method solves it; each step needs only a few sums over the documents, which are taken distributed. The
+dual is strongly convex with constant one, so its gradient bounds the error of ``y``, and with it that of the rates.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from millrace.llm.quality_rules import CLASSES, WORD_BINS, facts
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.90, "low": 0.06, "toxic": 0.04}
 FIT_ROWS, FIT_BYTES, SEEN_IN, FIT_STEPS, FIT_RATE, FIT_RIDGE = 4000, 1 << 15, 8, 120, 0.15, 2e-5
-RIDGE, MAX_STEPS, TOLERANCE = 1e-4, 60, 2e-4
+RIDGE, MAX_STEPS, TOLERANCE = 1e-4, 60, 1e-9
 DENSE = CLASSES + 5
 
 
@@ -118,67 +119,47 @@ def _posteriors(shared, schema: pa.Schema, text: str = "text", keep_text: bool =
     return run
 
 
-def replay(p: np.ndarray, history: list[np.ndarray], step: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates and look-ahead points of documents after all steps so far; both start at one."""
-    rate, ahead, momentum = np.ones(len(p)), np.ones(len(p)), 1.0
-    for residual in history:
-        new = np.maximum(0.0, ahead - step * (p @ residual + RIDGE * (ahead - 1)))
-        grown = (1 + (1 + 4 * momentum * momentum) ** 0.5) / 2
-        ahead = new + (momentum - 1) / grown * (new - rate)
-        rate, momentum = new, grown
-    return rate, ahead
+def _rate(y: np.ndarray) -> Column:
+    """A document's rate at the residual ``y``."""
+    return F.greatest(F.lit(0.0), 1 - sum(F.col(f"p_{d}") * float(v / RIDGE) for d, v in zip(DOMAINS, y, strict=True)))
 
 
-def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return np.asarray(batch.column("tokens")).astype(np.float64), np.stack([np.asarray(batch.column(k)) for k, _ in _P], axis=1)
-
-
-_SUMS = pa.schema([("sums", pa.list_(pa.float64()))])
-
-
-def _totals(history: list[np.ndarray], step: float):
-    """One row for each task: token totals of domains at the rates and at the look-ahead points."""
-
-    def run(batches):
-        total = np.zeros(2 * len(DOMAINS))
-        for batch in batches:
-            tokens, p = _columns(batch)
-            rate, ahead = replay(p, history, step)
-            total += np.concatenate([(rate * tokens) @ p, (ahead * tokens) @ p])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], schema=_SUMS)
-
-    return run
-
-
-def fit_rates(mix: DataFrame, targets: dict[str, float]) -> tuple[list[np.ndarray], float]:
-    """The history of residuals that fixes all rates, and the step size."""
+def fit_rates(mix: DataFrame, targets: dict[str, float]) -> np.ndarray:
+    """The residual that fixes all rates; an error if it is not found to ``TOLERANCE``."""
     unit, dims = np.array([targets[d] for d in DOMAINS]), len(DOMAINS)
     unit = unit / unit.sum()
-    grams = [F.sum(F.col("tokens") * F.col(f"p_{a}") * F.col(f"p_{b}")).alias(f"g{i}{j}") for i, a in enumerate(DOMAINS) for j, b in enumerate(DOMAINS)]
-    row = mix.agg(F.sum("tokens").alias("total"), *grams).first()
-    total = float(row["total"] or 0)
+    total = float(mix.agg(F.sum("tokens").alias("total")).first()["total"] or 0)
     if not total:
-        return [], 0.0
-    gram = np.array([[row[f"g{i}{j}"] for j in range(dims)] for i in range(dims)]) / total
-    step = 1.0 / (np.linalg.eigvalsh(gram)[-1] + RIDGE)
-    history: list[np.ndarray] = []
+        return np.zeros(dims)
+
+    def at(y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Value, gradient and Hessian of the dual."""
+        rows = mix.withColumn("rate", _rate(y)).where("rate > 0")
+        sums = [F.sum(F.col("tokens") * F.col("rate") * F.col("rate"))]
+        sums += [F.sum(F.col("tokens") * F.col("rate") * F.col(f"p_{a}")) for a in DOMAINS]
+        sums += [F.sum(F.col("tokens") * F.col(f"p_{a}") * F.col(f"p_{b}")) for a in DOMAINS for b in DOMAINS]
+        found = np.array([x or 0.0 for x in rows.agg(*[x.alias(f"s{k}") for k, x in enumerate(sums)]).first()]) / total
+        gram = found[1 + dims :].reshape(dims, dims)
+        return y @ y / 2 + unit @ y + RIDGE * found[0] / 2, y + unit - found[1 : 1 + dims], np.eye(dims) + gram / RIDGE
+
+    y = np.zeros(dims)
+    value, grad, hessian = at(y)
     for _ in range(MAX_STEPS):
-        parts = mix.mapInArrow(_totals(history, step), "sums array<double>")
-        sums = parts.agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(2 * dims)]).first()
-        reached, ahead = np.array(sums[:dims]) / total, np.array(sums[dims:]) / total
-        if np.abs(reached - unit).max() < TOLERANCE:
-            break
-        history.append(ahead - unit)
-    return history, step
-
-
-def _rates(history: list[np.ndarray], step: float, schema: pa.Schema):
-    def run(batches):
-        for batch in batches:
-            rate, _ = replay(_columns(batch)[1], history, step)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], schema=schema)
-
-    return run
+        if np.abs(grad).max() < TOLERANCE:
+            return y
+        move, part = -np.linalg.solve(hessian, grad), 1.0
+        while True:
+            new = at(y + part * move)
+            # Close to the optimum values differ by less than their rounding, and the gradient tells.
+            if new[0] <= value + 1e-4 * part * (grad @ move) or np.abs(new[1]).max() < np.abs(grad).max() / 2:
+                break
+            part /= 2
+            if part < 1e-9:
+                raise ArithmeticError(f"rates do not converge: gradient {np.abs(grad).max():.1e}")
+        y, (value, grad, hessian) = y + part * move, new
+    if np.abs(grad).max() < TOLERANCE:
+        return y
+    raise ArithmeticError(f"rates do not converge in {MAX_STEPS} steps: gradient {np.abs(grad).max():.1e}")
 
 
 def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -195,8 +176,7 @@ def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | No
     shared = spark.sparkContext.broadcast(fit_domains(rows, labels, fit_rows))
     schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.int64()), *_P])
     mix = materialise(rows.mapInArrow(_posteriors(shared, schema), f"doc_id long, tokens long, {_P_SQL}"), "mix")
-    history, step = fit_rates(mix, targets or TARGETS)
-    out = mix.mapInArrow(_rates(history, step, schema.append(pa.field("rate", pa.float64()))), f"doc_id long, tokens long, {_P_SQL}, rate double")
+    out = mix.withColumn("rate", _rate(fit_rates(mix, targets or TARGETS)))
     return out.withColumn("copies", draw(F.col("rate"), F.col("doc_id")))
 
 
@@ -220,7 +200,5 @@ def keep_drawn(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | N
     sql = inner.withColumns({"tokens": F.lit(0).cast("long"), **{k: F.lit(0.0) for k, _ in _P}}).schema
     text = f"c{others.index(text_col)}"
     mix = materialise(inner.mapInArrow(_posteriors(shared, to_arrow_schema(sql), text, True), sql), "mix")
-    history, step = fit_rates(mix.select("tokens", *[k for k, _ in _P]), targets or TARGETS)
-    rated = mix.withColumn("rate", F.lit(0.0)).schema
-    out = mix.mapInArrow(_rates(history, step, to_arrow_schema(rated)), rated)
+    out = mix.withColumn("rate", _rate(fit_rates(mix.select("tokens", *[k for k, _ in _P]), targets or TARGETS)))
     return out.where(draw(F.col("rate"), F.col(f"c{others.index(id_col)}").cast("long")) >= 1).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(others)])
