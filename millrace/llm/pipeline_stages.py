@@ -11,7 +11,7 @@ from millrace.llm.common import held_out, read_table
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go."""
+    """Documents that op9 calls ``und`` go: those without a letter, or all if no language can be learned."""
     return language_id.keep_identified(docs, held_out(F.col("doc_id")))
 
 
