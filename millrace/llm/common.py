@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import functools
+import gc
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,21 +20,32 @@ from pyspark.sql import functions as F
 
 from millrace.session import ensure_worker_path, read_table
 
-__all__ = ["held_out", "materialise", "prepare", "read_table", "shared_dir", "slices", "utf8"]
+__all__ = ["discard", "held_out", "lean", "materialise", "prepare", "read_table", "shared_dir", "slices", "utf8"]
+
+
+_own_dirs: dict[str, str] = {}
+_left: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; our own only where the session names none."""
+    """The folder that the driver and all executors share.
+
+    Where the session names none, a temporary one of this machine serves a local session; on a cluster that is an error.
+    """
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(found)
+        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = _own_dirs.setdefault(app, _own_dirs.get(app) or tempfile.mkdtemp(prefix="millrace-"))
     return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder; what is not discarded before goes when the driver's process ends."""
+    path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    _left[path] = spark
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -36,7 +53,46 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of materialised tables that nothing reads any more; other tables are left alone."""
+    for table in tables:
+        path = getattr(table, "_scratch", None)
+        if path and path in _left:
+            _delete(_left.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _sweep() -> None:
+    # At the end the session may be gone; what cannot be reached then stays for the cluster's own cleaning.
+    with contextlib.suppress(Exception):
+        for path, spark in list(_left.items()):
+            _delete(spark, path)
+    for path in _own_dirs.values():
+        shutil.rmtree(path, ignore_errors=True)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Give freed memory back to the machine after a task, so that idle Python workers hold little."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
 
 
 def prepare(df: DataFrame) -> SparkSession:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise
+from millrace.llm.common import discard, materialise
 
 
 def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     Alternates large-star and small-star steps until the edge set stays the same. Each round's edges are written to
     the shared folder. Hot nodes cost no gathering: a minimum with map-side combining and an equi-join that adaptive
-    execution may split. An empty table gives an empty table; rows with a null end are ignored.
+    execution may split. An empty table gives an empty table; rows with a null end are ignored. ``discard`` takes the
+    result.
     """
     now = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = materialise(now, "edges")
@@ -40,8 +41,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if state == seen:
             break
         seen = state
-        now = materialise(_stars(_stars(now, True), False), "edges")
+        last, now = now, materialise(_stars(_stars(now, True), False), "edges")
+        discard(last)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    out._scratch = now._scratch
+    return out

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import language_id, mixing, near_dup, sentencepiece_codec, suffix_dedup
+from millrace.llm import language_id, mixing, near_dup, quality_rules, sentencepiece_codec, suffix_dedup
 from millrace.llm.common import held_out
 from tests.llm import plain
 
@@ -118,3 +118,44 @@ def test_large_groups_of_near_copies(spark):
     texts |= {k: texts[7].upper() for k in range(200, 260)}
     found = as_rows(near_dup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)))
     assert {k: r["component_id"] for k, r in found.items()} == plain.components(texts, 4)
+
+
+def test_ids_with_several_texts(spark):
+    """Rows of one id tie the groups of all their texts, whichever of them is the greater."""
+    rng = random.Random(11)
+    one, two, far = ([f"{k}{rng.randint(0, 10**6)}" for _ in range(60)] for k in "uvw")
+    near = lambda x: " ".join([*x[:59], "changed"])
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (7, near(one)), (8, near(two)), (9, " ".join(far)), (9, " ".join(far)), (None, " ".join(one)), (3, None), (4, near(far))]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(found) == len(rows)
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in found} == {(5, 5, True), (7, 5, False), (8, 5, False), (9, 4, False), (4, 4, True), (3, 3, True), (None, None, True)}
+
+
+def test_words_that_meet_under_sums_of_powers(spark):
+    """A Thue-Morse word and its complement are two words to all operators that compare hashes."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    filler = " ".join(f"w{k}" for k in range(3))
+    rows = spark.createDataFrame([(1, f"{word}\n{other}"), (2, f"{word} {filler}"), (3, f"{other} {filler}"), (4, word[:400]), (5, other[:400])], "doc_id long, text string")
+    found = as_rows(near_dup.near_duplicates(rows))
+    assert {k: r["component_id"] for k, r in found.items()} == {k: k for k in range(1, 6)}
+    judged = as_rows(quality_rules.quality_rules(rows.withColumn("lang", F.lit(None).cast("string"))))
+    assert judged[1]["n_dup_lines"] == 0
+
+
+@pytest.mark.parametrize("straight", [0, 64])
+def test_crowded_keys(spark, monkeypatch, straight):
+    """Texts that share most of their words but are not similar enough, among groups that are; by key and by rare shingle."""
+    monkeypatch.setattr(near_dup, "STRAIGHT", straight)
+    rng = random.Random(straight)
+    common = [f"c{rng.randint(0, 10**6)}" for _ in range(120)]
+    texts = {}
+    for k in range(120):
+        own = [f"o{rng.randint(0, 10**6)}" for _ in range(20 + k % 25)]
+        texts[2 * k] = " ".join(common + own)
+        texts[2 * k + 1] = " ".join(common[: 119 - k % 7] + own)
+    found = as_rows(near_dup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)))
+    assert {k: r["component_id"] for k, r in found.items()} == plain.components(texts, 4)
+    assert len({r["component_id"] for r in found.values()}) > 1
