@@ -44,8 +44,16 @@ def _csv_value(field: T.StructField, options: ExportOptions) -> Column:
 
 
 def csv_lines(df: DataFrame, options: ExportOptions) -> DataFrame:
-    """One line for each row; quoting goes by type, so nulls and empty strings stay apart."""
-    return df.select(F.concat_ws(",", *[_csv_value(f, options) for f in df.schema]).alias("value"))
+    """One line for each row; quoting goes by type, so nulls and empty strings stay apart.
+
+    No line is empty, since readers skip such lines: a row whose only column is null is written as an empty string, and
+    without an enclosure, where that cannot be told from no row, it is an error.
+    """
+    line = F.concat_ws(",", *[_csv_value(f, options) for f in df.schema])
+    if len(df.columns) == 1:
+        blank = F.lit(options.enclosure * 2) if options.enclosure else F.raise_error(F.lit("VALUE_CONVERSION: a row of one empty column needs an enclosure")).cast("string")
+        line = F.when(line == "", blank).otherwise(line)
+    return df.select(line.alias("value"))
 
 
 def _records_per_file(df: DataFrame, options: ExportOptions) -> int:
@@ -70,7 +78,7 @@ def export(df: DataFrame, path: str, options: ExportOptions = ExportOptions()) -
     """Write slices and return name, size and rows of each; the manifest stands beside the folder as ``<path>manifest``."""
     spark, path = df.sparkSession, paths.normalised(path)
     WRITERS[options.file_type](df, path, options)
-    counts = {r["f"]: r["n"] for r in slice_counts(spark, path, options.file_type).collect()}
+    counts = {r["f"]: r["n"] for r in slice_counts(spark, path, options.file_type, options.enclosure).collect()}
     out = []
     for url, size in paths.listing(spark, path):
         out.append({"FILE_NAME": paths.file_name(url), "FILE_SIZE": size, "ROW_COUNT": counts.get(paths.file_name(url), 0), "URL": url})
@@ -79,9 +87,11 @@ def export(df: DataFrame, path: str, options: ExportOptions = ExportOptions()) -
     return out
 
 
-def slice_counts(spark: SparkSession, path: str, file_type: str) -> DataFrame:
+def slice_counts(spark: SparkSession, path: str, file_type: str, enclosure: str = '"') -> DataFrame:
     """Rows of each slice. A Parquet scan reads no columns for it. A CSV row may span lines, so rows are parsed."""
-    df = spark.read.parquet(path) if file_type == "parquet" else spark.read.option("multiLine", True).option("escape", '"').schema("v string").csv(path)
+    quote = enclosure or "\u0000"
+    reader = spark.read.option("multiLine", bool(enclosure)).option("quote", quote).option("escape", quote).option("maxCharsPerColumn", -1)
+    df = spark.read.parquet(path) if file_type == "parquet" else reader.schema("v string").csv(path)
     return df.groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("f")).agg(F.count("*").alias("n"))
 
 

@@ -91,7 +91,7 @@ class FileSource:
             return reader.option("header", skip == 1).csv(list(files))
         # More leading lines than one: cut them off each file's text, then let the same parser read the records.
         texts = self._whole_files(spark, files)
-        lines = texts.select(F.regexp_replace("text", rf"^(?:[^\n]*\n){{{skip - 1}}}", "").alias("text"))
+        lines = texts.select(F.regexp_replace("text", rf"^(?:[^\n]*+\n){{{skip - 1}}}+", "").alias("text"))
         parts = lines.select(F.explode(self._records("text")).alias("record")).where(F.col("record").rlike("[^\r\n]"))
         ddl = ", ".join(f"{quoted(c)} string" for c in self.columns)
         options = {"sep": f.delimiter, "quote": quote, "escape": quote, "nullValue": _ABSENT, "emptyValue": "", "mode": "FAILFAST", "multiLine": "true"}
@@ -102,10 +102,14 @@ class FileSource:
         return read.text(list(files), wholetext=True).select(F.regexp_replace("value", "\r\n", "\n").alias("text"))
 
     def _records(self, name: str):
-        """Records of a text: line breaks outside of enclosures part them. The first one, a header line, is left out."""
-        q = self.format.enclosure
-        parting = rf"\n(?=(?:[^{q}]*{q}[^{q}]*{q})*[^{q}]*$)" if q else r"\n"
-        return F.slice(F.split(name, parting), 2, 1 << 30)
+        """Records of a text: line breaks outside of enclosures part them. The first one, a header line, is left out.
+
+        Possessive runs, so that no text is scanned twice and no stack grows with it.
+        """
+        if not self.format.enclosure:
+            return F.slice(F.split(name, r"\n"), 2, 1 << 30)
+        q = f"\\x{ord(self.format.enclosure):02x}"
+        return F.slice(F.regexp_extract_all(name, F.lit(rf"(?:[^{q}\n]++|{q}[^{q}]*+(?:{q}|\z))++"), F.lit(0)), 2, 1 << 30)
 
     def _escaped(self, spark: SparkSession, files: Sequence[str], skip: int) -> DataFrame:
         """Unenclosed fields with an escape character: a delimiter or line break after it belongs to the field."""

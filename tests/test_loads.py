@@ -247,3 +247,35 @@ def test_stream_equals_batch(spark, store, tmp_path):
         load_stream(stream, Loader(store), "t", ImportOptions(incremental=True, type_mode=TypeMode.USER), str(tmp_path / "cp")).awaitTermination()
         spark.createDataFrame([(2, "B"), (3, "c")], "k long, v string").write.mode("append").parquet(folder)
     assert rows(store.read("t")) == [(1, "a"), (2, "B"), (3, "c")]
+
+
+# --- what must not get lost ---
+
+
+def test_many_enclosed_rows_after_skipped_lines(spark, tmp_path):
+    body = "title\nmore\n" + '"a","b"\n' + "".join(f'"{k}","x ""{k}""\ny"\n' for k in range(100_000))
+    df = FileSource(write(tmp_path / "big.csv", body), ("a", "b")).read(spark, ImportOptions(skip_lines=3))
+    assert df.count() == 100_000 and df.where("a = '99999'").first()["b"] == 'x "99999"\ny'
+
+
+@pytest.mark.parametrize("enclosure", ['"', "'"])
+def test_export_loses_no_row(spark, tmp_path, enclosure):
+    df = spark.createDataFrame([("a",), (None,), (None,), ("",), ("b\nc",), ("it's",)], "v string").coalesce(1)
+    report = X.export(df, str(tmp_path / "out"), ExportOptions(enclosure=enclosure))
+    assert sum(r["ROW_COUNT"] for r in report) == 6
+    back = FileSource(str(tmp_path / "outmanifest"), ("v",), format=CsvFormat(",", enclosure), sliced=True).read(spark, ImportOptions(import_as_null=()))
+    assert rows(back) == sorted([("a",), ("",), ("",), ("",), ("b\nc",), ("it's",)], key=str)
+
+
+def test_partitioned_table(spark, store):
+    definition = TableDef("p", (text("v"), text("day")), ())
+    store.create(definition, partition_by=("day",))
+    frame = lambda *data: spark.createDataFrame(list(data), "v string, day string")
+    Loader(store).load(FrameSource(frame(("1", "2020-01-01"), ("2", "2020/01 02"))), "p")
+    assert rows(store.read("p")) == rows(spark.table(store.name("p"))) == [("1", "2020-01-01"), ("2", "2020/01 02")]
+    Loader(store).load(FrameSource(frame(("3", "2020-01-03"))), "p", ImportOptions(incremental=True))
+    assert spark.table(store.name("p")).count() == C.TableReflection(spark, store.schema, "p").row_count() == 3
+    Loader(store).load(FrameSource(frame(("4", "2020-01-03"))), "p")
+    assert rows(spark.table(store.name("p"))) == [("4", "2020-01-03")] and store.version("p") == 2
+    with pytest.raises(ConcurrentCommit):
+        store.append("p", frame(("5", "x")), read_version=1)
