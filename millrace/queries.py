@@ -5,23 +5,29 @@ The tables hold no nulls or empty strings where null handling matters, so expres
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import expressions as E
 from millrace.functions.types import TypeDef
-from millrace.model import ChangePolicy, ColumnDef, ImportOptions, MatchPolicy, TableDef, TimestampMode, TypeMode
+from millrace.model import ChangePolicy, ColumnDef, ExportOptions, ImportOptions, MatchPolicy, TableDef, TimestampMode, TypeMode
 from millrace.operators import checks
 from millrace.operators import transforms as X
+from millrace.plans.loads import Loader
+from millrace.plans.store import TableStore
 from millrace.session import read_table
-from millrace.sources.export import csv_lines
-from millrace.sources.tables import QuerySource
+from millrace.sources.export import csv_lines, export
+from millrace.sources.files import FileSource
+from millrace.sources.tables import FrameSource, QuerySource
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 STAMP = "2022-02-02 00:00:00"
+VECTOR_SIZE = 64  # as the given table declares it
 ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 LINES = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
@@ -265,8 +271,7 @@ def vector_size_check(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors pass through their text form, and each has the declared size."""
     df = read_table(spark, sf, "embeddings")
     dim = F.size("embedding").cast("long")
-    first = df.select(F.max(F.size("embedding")).alias("n")).first()["n"] or 1
-    parsed = df.select("vec_id", dim.alias("dim"), "label", E.as_vector(F.to_json("embedding"), first).alias("v"))
+    parsed = df.select("vec_id", dim.alias("dim"), "label", E.as_vector(F.to_json("embedding"), VECTOR_SIZE).alias("v"))
     return parsed.select("vec_id", F.size("v").cast("long").alias("dim"), "label")
 
 
@@ -304,8 +309,6 @@ def constraint_violations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""select o_orderkey || ',"' || o_orderstatus || '",' || case when o_orderkey % 3 = 0 then '' when o_orderkey % 5 = 0 then '""' else '"' || replace(o_orderpriority, '"', '""') || '"' end as value from orders""")
 def export_csv_lines(spark: SparkSession, sf: str) -> DataFrame:
-    from millrace.model import ExportOptions
-
     k = F.col("o_orderkey")
     df = read_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.when(k % 5 == 0, F.when(k % 3 != 0, "")).when(k % 3 != 0, F.col("o_orderpriority")).alias("p"))
     return csv_lines(df, ExportOptions())
@@ -315,3 +318,92 @@ def export_csv_lines(spark: SparkSession, sf: str) -> DataFrame:
 def export_slice_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of each slice, a slice here being a value: the same partial sums that an export's report runs by file."""
     return read_table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("f")).agg(F.count("*").alias("n"))
+
+
+# --- through the engine: files, staging, stored tables, exports ---
+
+
+def _home(spark: SparkSession) -> str:
+    """A fresh folder under the warehouse, which all machines share."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/millrace_queries/{uuid.uuid4().hex}"
+
+
+def _store(spark: SparkSession, *definitions: TableDef) -> TableStore:
+    store = TableStore(spark, _home(spark), "millrace_queries")
+    for definition in definitions:
+        if store.exists(definition.name):
+            store.drop(definition.name)
+        store.create(definition)
+    return store
+
+
+def _varchar(*names: str) -> tuple[ColumnDef, ...]:
+    return tuple(ColumnDef(n, TypeDef("snowflake", "VARCHAR")) for n in names)
+
+
+def _options(**more) -> ImportOptions:
+    return ImportOptions(import_time=datetime.fromisoformat(STAMP), **more)
+
+
+_TEXTS = "select cast(o_orderkey as varchar) as k, case when o_orderkey % 5 = 0 then null when o_orderkey % 7 = 0 then '' when o_orderkey % 11 = 0 then 'a \"b\"\n' || o_orderpriority else o_orderpriority end as v, o_orderstatus as w from orders"
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    value = F.when(k % 5 == 0, None).when(k % 7 == 0, "").when(k % 11 == 0, F.concat(F.lit('a "b"\n'), "o_orderpriority")).otherwise(F.col("o_orderpriority"))
+    return read_table(spark, sf, "orders").select(k.cast("string").alias("k"), value.alias("v"), F.col("o_orderstatus").alias("w"))
+
+
+@query(f"select k, coalesce(v, '') as v, w from ({_TEXTS})")
+def engine_export_and_file_load(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows with quotes, line breaks, nulls and empty texts: out as CSV slices with a manifest, back in by the manifest, into a stored table."""
+    store = _store(spark, TableDef("from_files", _varchar("k", "v", "w")))
+    folder = _home(spark)
+    export(_texts(spark, sf), folder, ExportOptions(compressed=True))
+    Loader(store).load(FileSource(folder + "manifest", ("k", "v", "w"), sliced=True), "from_files", _options())
+    return store.read("from_files")
+
+
+@query("select count(*) as n from orders")
+def engine_export_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows by the export's own report, over all slices."""
+    report = export(_texts(spark, sf), _home(spark), ExportOptions())
+    return spark.createDataFrame([(sum(int(r["ROW_COUNT"]) for r in report),)], "n long")
+
+
+@query(f"select * exclude (rn), timestamp '{STAMP}' as _timestamp from (select k, v, w, row_number() over (partition by w order by k, v) as rn from (select k, coalesce(v, '') as v, w from ({_TEXTS}))) where rn = 1")
+def engine_full_load(spark: SparkSession, sf: str) -> DataFrame:
+    """A full load with dedup by key through staging and a commit."""
+    store = _store(spark, TableDef("full_keyed", (*_varchar("k", "v", "w"), ColumnDef.timestamp()), ("w",)))
+    Loader(store).load(FrameSource(_texts(spark, sf)), "full_keyed", _options())
+    return store.read("full_keyed")
+
+
+@query(f"""with a as (select k, coalesce(v, '') as v, w from ({_TEXTS}) where cast(k as bigint) % 3 <> 0), s as (select k, case when cast(k as bigint) % 4 = 0 then 'X' else coalesce(v, '') end as v, w from ({_TEXTS}) where cast(k as bigint) % 2 = 0)
+    select coalesce(s.k, a.k) as k, coalesce(s.v, a.v) as v, coalesce(s.w, a.w) as w, case when a.k is null or s.v <> a.v then timestamp '{STAMP}' else timestamp '2021-01-01 00:00:00' end as _timestamp from a full outer join s on a.k = s.k""")
+def engine_incremental_load(spark: SparkSession, sf: str) -> DataFrame:
+    """A full load and then an incremental one: changed and new rows get the new time, unchanged rows keep theirs."""
+    store = _store(spark, TableDef("incremental", (*_varchar("k", "v", "w"), ColumnDef.timestamp()), ("k",)))
+    rows, k = _texts(spark, sf), F.col("k").cast("long")
+    Loader(store).load(FrameSource(rows.where(k % 3 != 0)), "incremental", ImportOptions(import_time=datetime(2021, 1, 1)))
+    changed = rows.where(k % 2 == 0).withColumn("v", F.when(k % 4 == 0, "X").otherwise(F.col("v")))
+    Loader(store).load(FrameSource(changed), "incremental", _options(incremental=True))
+    return store.read("incremental")
+
+
+@query(f"select k, coalesce(v, '') as v, w, timestamp '{STAMP}' as _timestamp from ({_TEXTS}) union all select k, coalesce(v, '') as v, w, timestamp '{STAMP}' as _timestamp from ({_TEXTS}) where w = 'F'")
+def engine_append_load(spark: SparkSession, sf: str) -> DataFrame:
+    """Incremental loads without a key add rows."""
+    store = _store(spark, TableDef("appended", (*_varchar("k", "v", "w"), ColumnDef.timestamp())))
+    rows = _texts(spark, sf)
+    Loader(store).load(FrameSource(rows), "appended", _options(incremental=True))
+    Loader(store).load(FrameSource(rows.where("w = 'F'")), "appended", _options(incremental=True))
+    return store.read("appended")
+
+
+@query(f"select k, v, w, timestamp '{STAMP}' as _timestamp from ({_TEXTS})")
+def engine_create_as_select(spark: SparkSession, sf: str) -> DataFrame:
+    """A load that replaces the table as it is: no dedup, nulls stay."""
+    store = _store(spark, TableDef("as_select", (*_varchar("k", "v", "w"), ColumnDef.timestamp())))
+    Loader(store).load(FrameSource(_texts(spark, sf)), "as_select", _options(), create_as_select=True)
+    return store.read("as_select")
