@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import kernel as K
-from millrace.llm.common import materialise, prepare, slices
+from millrace.llm.common import lean, materialise, prepare, slices
 
 GRAM = 24
 BLOCK_BYTES, PIECE_BYTES, BUCKET_BYTES = 4 << 20, 1 << 20, 6 << 20
 SAMPLES = 16
+SHORTEST, LONGEST = GRAM + 8, 1 << 14
+RANGES, SAMPLED = 4096, 50_000
 _POSITION = np.uint64((1 << 24) - 1)
 LAST = np.iinfo(np.int64).max
 
@@ -155,7 +157,7 @@ def bucket_repeats(data: np.ndarray, at: np.ndarray, size: np.ndarray, anchor: n
         # The last word of a stretch is read so that it ends with the stretch.
         return lambda r: word[at[r] + np.minimum(d, size[r] - 8)].astype(np.uint64)
 
-    same, cls = multikey(rows, group, [lambda r: (size[r] << 32 | anchor[r] << 16 | low[r] << 8 | high[r]).astype(np.uint64), *[level(d) for d in range(0, most, 8)]])
+    same, cls = multikey(rows, group, [lambda r: (size[r] << 32 | anchor[r]).astype(np.uint64), lambda r: (low[r] << 32 | high[r]).astype(np.uint64), *[level(d) for d in range(0, most, 8)]])
     later = not_first(same, cls, rank)
     out = [(later, np.maximum(0, anchor[later] - high[later]), np.minimum(size[later] - length, anchor[later] - low[later]))]
     first = np.ones(len(at), bool)
@@ -241,7 +243,7 @@ def _pack(keep_extra: bool):
                 yield pa.RecordBatch.from_pylist([{"block": number, "raw": len(data), "ids": ids.to_pylist(), "sizes": sizes.tolist(), "lead": lead.tolist(), "payload": packer.compress(data.tobytes()), "extra": extra}], schema=BLOCKS)
                 number += 1
 
-    return run
+    return lean(run)
 
 
 def _open(sizes: np.ndarray, payload: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -262,9 +264,10 @@ def _block_hashes(buckets: int, length: int):
                 if len(full):
                     yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), batch.column("block")[i].as_py())), pa.array([own[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary())], schema=FRAGMENTS)
 
-    return run
+    return lean(run)
 
 
+@lean
 def _repeated(batches):
     """Within a partition: the hashes that several blocks have, told to each of them."""
     blocks, bodies = [], []
@@ -288,23 +291,26 @@ def _repeated(batches):
             yield pa.RecordBatch.from_arrays([pa.array([blocks[k]], pa.int64()), pa.array([got.tobytes()], pa.binary())], schema=REPLIES)
 
 
-_META = np.dtype([("doc", "<i8"), ("text", "<i4"), ("start", "<i4"), ("size", "<u2"), ("anchor", "u1"), ("low", "u1"), ("high", "u1")])
+_META = np.dtype([("doc", "<i8"), ("text", "<i4"), ("start", "<i4"), ("size", "<u4"), ("anchor", "<u2"), ("low", "<u2"), ("high", "<u2")])
 
 
 def _settled(data, ids, a, lo, size, t, b, low, high) -> np.ndarray:
     """Stretches of a block that equal an earlier one of the block byte by byte, with the same anchor and offsets."""
     word = _words(np.concatenate([data, np.zeros(8, np.uint8)]))
-    shape = (size << 32 | (a - lo) << 16 | low << 8 | high).astype(np.uint64)
+    shape, dealt = (size << 32 | (a - lo)).astype(np.uint64), (low << 32 | high).astype(np.uint64)
     most = int(size.max()) if len(size) else 0
-    levels = [lambda r: shape[r], *[lambda r, d=d: word[lo[r] + np.minimum(d, size[r] - 8)].astype(np.uint64) for d in range(0, most, 8)]]
+    levels = [lambda r: shape[r], lambda r: dealt[r], *[lambda r, d=d: word[lo[r] + np.minimum(d, size[r] - 8)].astype(np.uint64) for d in range(0, most, 8)]]
     rows, cls = multikey(np.arange(len(a)), b, levels)
     rank = np.empty(len(a), np.int64)
     rank[np.lexsort((lo, t, ids[t]))] = np.arange(len(a))
     return not_first(rows, cls, rank)
 
 
-def _stretches(splitters: np.ndarray, length: int):
-    """Cut out what the repeated anchors of a block rule, and deal it to buckets by leading bytes."""
+def _stretches(splitters: np.ndarray, fan: int, length: int):
+    """Cut out what the repeated anchors of a block rule, and deal it to buckets by leading bytes.
+
+    Each range between splitters has ``fan`` buckets, told apart by the anchor's hash: equal strings have equal anchors.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -326,7 +332,7 @@ def _stretches(splitters: np.ndarray, length: int):
             values, inverse, count = np.unique(g, return_inverse=True, return_counts=True)
             elsewhere = np.isin(values, told)[inverse]
             use = (count > 1)[inverse] | elsewhere
-            a, lo, hi, t, code, elsewhere = (x[use] for x in (a, lo, hi, t, inverse, elsewhere))
+            a, lo, hi, t, code, elsewhere, part = (x[use] for x in (a, lo, hi, t, inverse, elsewhere, ((g >> np.uint64(32)) % np.uint64(fan)).astype(np.int64)))
             lead = _words(np.concatenate([data, np.zeros(8, np.uint8)]))[a].astype(np.uint64)
             one, two = np.searchsorted(splitters, lead, side="left"), np.searchsorted(splitters, lead, side="right")
             ways = np.clip(two - one, 1, length - GRAM + 1)
@@ -337,7 +343,7 @@ def _stretches(splitters: np.ndarray, length: int):
             way = np.arange(len(pick)) - np.repeat(np.cumsum(share) - share, share)
             span = length - GRAM + 1
             low, high = span * way // share[pick], span * (way + 1) // share[pick] - 1
-            a, lo, hi, t, code, elsewhere, b = *(x[pick] for x in (a, lo, hi, t, code, elsewhere)), bucket[pick] + way
+            a, lo, hi, t, code, elsewhere, b = *(x[pick] for x in (a, lo, hi, t, code, elsewhere)), (bucket[pick] + way) * fan + part[pick]
             lo, hi = np.maximum(lo, a - high), np.minimum(hi, a - low)
             good = lo <= hi
             a, lo, hi, t, code, elsewhere, b, low, high = (x[good] for x in (a, lo, hi, t, code, elsewhere, b, low, high))
@@ -350,7 +356,7 @@ def _stretches(splitters: np.ndarray, length: int):
             send = np.ones(len(a), bool)
             send[later] = False
             # An anchor that only this block holds is sent on if stretches that differ share it.
-            _, place, many = np.unique(code[send] * (len(splitters) + length) + b[send], return_inverse=True, return_counts=True)
+            _, place, many = np.unique(code[send] * ((len(splitters) + length) * fan) + b[send], return_inverse=True, return_counts=True)
             send[send] = (many[place] > 1) | elsewhere[send]
             kept = np.flatnonzero(send)
             order = kept[np.argsort(b[kept], kind="stable")]
@@ -404,7 +410,7 @@ def _sort_bucket(length: int):
             for s, e in _equal_runs(block):
                 yield pa.RecordBatch.from_pylist([{"block": int(block[s]), "text": text[s:e], "start": start[s:e], "end": end[s:e]}], schema=RUNS)
 
-    return run
+    return lean(run)
 
 
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -457,23 +463,33 @@ def _cut_out(extra_schema: pa.Schema | None):
     return run
 
 
-def _find_runs(docs: DataFrame, length: int, keep_extra: bool) -> tuple[DataFrame, DataFrame]:
+def _find_runs(docs: DataFrame, length: int, keep_extra: bool) -> tuple[DataFrame, DataFrame, int]:
+    if not SHORTEST <= length <= LONGEST:
+        raise ValueError(f"length must be from {SHORTEST} to {LONGEST} bytes")
     blocks = materialise(docs.mapInArrow(_pack(keep_extra), "block long, raw long, ids array<long>, sizes array<int>, lead array<long>, payload binary, extra binary"), "blocks")
     total = blocks.agg(F.sum("raw")).first()[0] or 0
-    # Many more buckets than partitions even the partitions out; a task sorts one bucket at a time.
+    # Many more buckets than partitions even the partitions out; a task sorts one bucket at a time. Splitters are bounded,
+    # so beyond RANGES ranges each of them has several buckets; tasks hold as many bytes however large the input is.
     buckets = max(32, total // BUCKET_BYTES)
-    parts = max(8, buckets // 5)
+    ranges = min(buckets, RANGES)
+    fan = -(-buckets // ranges)
+    parts, wide = max(8, buckets // 5), max(8, total // (4 * BLOCK_BYTES))
     slim = blocks.select("block", "ids", "sizes", "payload")
     hashes = slim.mapInArrow(_block_hashes(buckets, length), "bucket int, block long, body binary")
     replies = hashes.repartition(parts, "bucket").mapInArrow(_repeated, "block long, body binary")
-    # A bounded sample of leading keys; unsigned order, as bytes compare.
-    share = min(1.0, 50_000 / max(1, SAMPLES * (total // BLOCK_BYTES + 1)))
+    # A bounded sample of leading keys, a dozen for each range; unsigned order, as bytes compare.
+    share = min(1.0, SAMPLED / max(1, SAMPLES * (total // BLOCK_BYTES + 1)))
     leads = blocks.select(F.explode("lead").alias("lead"))
     sample = np.sort((leads.sample(share, seed=4) if share < 1 else leads).toPandas()["lead"].to_numpy(np.int64).view(np.uint64))
-    splitters = sample[np.linspace(0, len(sample) - 1, buckets + 1).astype(int)[1:-1]] if len(sample) else np.zeros(0, np.uint64)
-    stretches = slim.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_stretches(splitters, length), "bucket int, block long, body binary")
+    splitters = sample[np.linspace(0, len(sample) - 1, ranges + 1).astype(int)[1:-1]] if len(sample) else np.zeros(0, np.uint64)
+    stretches = _beside(slim, replies, wide).applyInArrow(_stretches(splitters, fan, length), "bucket int, block long, body binary")
     runs = stretches.repartition(parts, "bucket").mapInArrow(_sort_bucket(length), "block long, text array<int>, start array<int>, end array<int>")
-    return blocks, runs
+    return blocks, runs, wide
+
+
+def _beside(blocks: DataFrame, others: DataFrame, parts: int):
+    """Blocks with what is told to each of them, over partitions that hold a bounded number of blocks."""
+    return blocks.repartition(parts, "block").groupBy("block").cogroup(others.repartition(parts, "block").groupBy("block"))
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
@@ -482,13 +498,13 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte is removed if a string of ``length`` bytes that covers it also starts earlier: at a smaller id, or earlier
     in the same text; rows with one id follow in the order in which they were packed, and a null id comes last. Null
     and empty texts, and texts shorter than ``length``, lose nothing. Other columns are not read. An empty table gives
-    an empty table.
+    an empty table. ``length`` may be from ``SHORTEST`` to ``LONGEST``; another is an error.
     """
     prepare(docs)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks, runs = _find_runs(docs, length, False)
+    blocks, runs, wide = _find_runs(docs, length, False)
     blocks = blocks.select("block", "ids", "sizes", "payload")
-    return blocks.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(_cut_out(None), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _beside(blocks, runs, wide).applyInArrow(_cut_out(None), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
@@ -503,9 +519,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = docs.columns
     others = [c for c in names if c != text_col]
     inner = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)])
-    blocks, runs = _find_runs(inner, length, True)
+    blocks, runs, wide = _find_runs(inner, length, True)
     result = inner.drop("doc_id", "text").withColumn("out_text", F.lit(None).cast("string")).withColumn("out_removed", F.lit(None).cast("long")).schema
     blocks = blocks.select("block", "ids", "sizes", "payload", "extra")
-    out = blocks.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(_cut_out(to_arrow_schema(result)), result)
+    out = _beside(blocks, runs, wide).applyInArrow(_cut_out(to_arrow_schema(result)), result)
     out = out.where("not (out_removed > 0 and out_text = '')")
     return out.select(*[F.col("out_text" if c == text_col else f"c{others.index(c)}").alias(c) for c in names])
