@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, decoders, models, normalizers
 
-from millrace.llm.common import prepare, slices
+from millrace.llm.common import lean, prepare, slices
 
 MARK = "\u2581"
 UNIGRAM, BPE = 1, 2
@@ -119,16 +119,12 @@ class Codec:
         # No piece goes on with a mark after another character, so texts may be cut before each run of marks.
         self.cut = not any(re.search(f"[^{MARK}]{MARK}", piece) for piece in usable)
         # A word alone and within its text are the same to the own library only if normalising leaves it as it is.
-        self.by_word = self.cut and self.plain and m.dummy_prefix
+        self.by_word = self.cut and self.plain and m.dummy_prefix and MARK in usable
+        self.unknown = vocab[unknown]
         self.known: dict[str, bytes] = {}
         self.odd: set[str] = set()
         # Characters that an id stands for: a fallback byte counts if it begins a character.
         self.width = np.array([(kind != BYTE or not 0x80 <= int(piece[3:-1], 16) < 0xC0) * (1 if kind == BYTE else len(piece)) for piece, _, kind in m.pieces], np.int64)
-        self.bytes = [self._bytes_of(piece, kind) for piece, _, kind in m.pieces]
-
-    @staticmethod
-    def _bytes_of(piece: str, kind: int) -> bytes:
-        return bytes([int(piece[3:-1], 16)]) if kind == BYTE else piece.replace(MARK, " ").encode("utf-8")
 
     def forget(self) -> None:
         """Drop what was learned from texts, so that an idle process holds no memory for it."""
@@ -160,6 +156,10 @@ class Codec:
             ours = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
             theirs = self.own.encode([j[1:].replace(MARK, " ") for j in joined], num_threads=1)
             for group, ids, own in zip(part, ours, theirs, strict=True):
+                if self.unknown in ids or self.unknown in own:
+                    # An unknown id does not tell how many characters it stands for, so these words go one by one.
+                    self._learn_each(group)
+                    continue
                 ids_of = self._parted(group, ids)
                 if ids != own:
                     for k, other in enumerate(self._parted(group, own)):
@@ -168,6 +168,14 @@ class Codec:
                             ids_of[k] = other
                 self.known.update(zip(group, ids_of, strict=True))
 
+    def _learn_each(self, words: list[str]) -> None:
+        """Words encoded alone by both libraries; the own library adds the mark that each word begins with."""
+        ours = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        for word, e, own in zip(words, ours, self.own.encode([w[1:].replace(MARK, " ") for w in words], num_threads=1), strict=True):
+            if e.ids != own:
+                self.odd.add(word)
+            self.known[word] = pack(f"<{len(own)}i", *own)
+
     def _parted(self, group: list[str], ids: list[int]) -> list[bytes]:
         """Ids of each word of a joined text, by the characters that ids stand for; each word begins at a token."""
         own = np.array(ids, "<i4")
@@ -196,12 +204,8 @@ class Codec:
         return [a if s else b for a, b, s in zip(ids, theirs, same, strict=True)], same
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        """Texts of ids: pieces and fallback bytes in order, marks as spaces, without the dummy prefix."""
-        out = []
-        for own in ids:
-            raw = b"".join(map(self.bytes.__getitem__, own))
-            out.append((raw[1:] if self.model.dummy_prefix and raw[:1] == b" " else raw).decode("utf-8", "replace"))
-        return out
+        """Texts of ids, by the backend's decoder: marks as spaces, fallback bytes joined, without the dummy prefix."""
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
 def re_spaces():
@@ -235,7 +239,7 @@ def _digests(path: str):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns, schema.types, strict=True)], schema=schema)
         coder.forget()
 
-    return run
+    return lean(run)
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,7 +267,7 @@ def _ids(path: str):
                 yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
         coder.forget()
 
-    return run
+    return lean(run)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -282,7 +286,7 @@ def _texts(path: str):
             back = coder.decode([x or [] for x in batch.column("token_ids").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(back, pa.string())], schema=schema)
 
-    return run
+    return lean(run)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
