@@ -3,11 +3,17 @@
 Texts are normalised and cut into pre-tokens. The distinct pre-tokens of a batch stand as one ragged array of symbols.
 In each round every sequence finds its lowest-ranked pair and all sequences apply theirs at once; a sequence without a
 mergeable pair is done, and its surviving symbols are counted. Counts of pre-tokens are kept in a bounded table.
+
+Python's Unicode tables and those of the vocabulary file's library may be of different versions. Characters on which they
+differ, or which any of them does not know, are found once; texts that hold one, and all texts under a file with
+another normaliser or split, are cut by the library itself.
 """
 
 from __future__ import annotations
 
+import functools
 import json
+import os
 import unicodedata
 
 import numpy as np
@@ -16,11 +22,50 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import prepare, slices
+from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+from millrace.llm.common import lean, prepare, slices
 
 NO_RANK = np.iinfo(np.int64).max
 REMEMBERED = 400_000
 SEGMENT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+# The normaliser and the split that are restated here.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def _normalised(text: str) -> str:
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # letters are lowered one by one
+
+
+@functools.cache
+def unsure(path: str) -> np.ndarray:
+    """For each code point: whether Python's tables and the library's may treat it differently."""
+    out = np.zeros(0x110000, bool)
+    every = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000 and chr(k) != "|"]
+    out[0xD800:0xE000] = True
+    joined = "".join(every)
+    for kind, own in ((r"\p{L}", r"\p{L}"), (r"\p{N}", r"\p{N}"), (r"\s", r"\p{White_Space}"), (r"\p{Cn}", r"\p{Cn}")):
+        pieces = pre_tokenizers.Split(Regex(f"(?:(?!{kind})[\\s\\S])+"), "removed").pre_tokenize_str(joined)
+        theirs = {c for piece, _ in pieces for c in piece}
+        ours = set(regex.findall(own, joined))
+        # What either does not know is unsure; else what only one of them counts in.
+        out[[ord(c) for c in (theirs | ours if kind == r"\p{Cn}" else theirs ^ ours)]] = True
+    out[[ord(c) for c in every if unicodedata.category(c) == "Cn"]] = True
+    # Normalised one by one; white space, which both make a cut, is left out.
+    known = [c for c in every if not out[ord(c)] and not c.isspace()]
+    theirs = Tokenizer.from_file(path).normalizer.normalize_str("|".join(known)).split("|")
+    ours = _normalised("|".join(known)).split("|")
+    if len(theirs) != len(known) or len(ours) != len(known):
+        raise ValueError("the normaliser changes its separator")
+    out[[ord(c) for c, a, b in zip(known, theirs, ours, strict=True) if a != b]] = True
+    return out
 
 
 def byte_alphabet() -> list[str]:
@@ -99,25 +144,43 @@ class MergeTable:
 class TokenCounter:
     """Counts of whole texts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, odd: np.ndarray | None = None):
         self.table = MergeTable(path)
+        self.own = Tokenizer.from_file(path)
+        self.odd = unsure(path) if odd is None else odd
+        spec = json.loads(self.own.to_str())
+        self.restated = spec["normalizer"] == NORMALISER and spec["pre_tokenizer"] == SPLIT
+        self.bytes = {c: bytes([k]) for k, c in enumerate(byte_alphabet())}
         self.known: dict[str, int] = {}
-        self.special = regex.compile("|".join(regex.escape(t) for t in sorted(self.table.specials, key=len, reverse=True))) if self.table.specials else None
+        specials = self.table.specials
+        self.special = regex.compile("|".join(regex.escape(t) for t in sorted(specials, key=len, reverse=True))) if specials else None
+        self.sign = os.path.commonprefix(specials)
 
     @staticmethod
     def segments(text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letters are lowered one by one
-        return SEGMENT.findall(text.lower())
+        return SEGMENT.findall(text.lower() if text.isascii() else _normalised(text))
+
+    def is_odd(self, text: str) -> bool:
+        if not self.restated:
+            return True
+        return not text.isascii() and bool(self.odd[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
+
+    def _by_library(self, text: str) -> int:
+        """Count of a text that the library itself normalises and cuts."""
+        cut = self.own.pre_tokenizer.pre_tokenize_str(self.own.normalizer.normalize_str(text) if self.own.normalizer else text)
+        return int(self.table.count([b"".join(map(self.bytes.__getitem__, piece)) for piece, _ in cut]).sum()) if cut else 0
 
     def counts(self, texts: list[str]) -> np.ndarray:
         cut, base = [], np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
-            if self.special and "<|" in text and self.special.search(text):
+            parts = [text]
+            if self.special and self.sign in text and self.special.search(text):
                 base[k] = len(self.special.findall(text))
-                cut.append([s for part in self.special.split(text) for s in self.segments(part)])
-            else:
-                cut.append(self.segments(text))
+                parts = self.special.split(text)
+            if self.is_odd(text):
+                base[k] += sum(map(self._by_library, parts))
+                parts = []
+            cut.append([s for part in parts for s in self.segments(part)])
         known = self.known
         new = list({s for segments in cut for s in segments if s not in known})
         if new:
@@ -135,15 +198,15 @@ class TokenCounter:
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
 
-def _run(path: str, limit: int):
+def _run(path: str, limit: int, odd: np.ndarray):
     def run(batches):
-        counter = TokenCounter(path)
+        counter = TokenCounter(path, np.unpackbits(odd).astype(bool))
         for whole in batches:
             for part, _, off in slices(whole, "text", 1 << 20):
                 tokens = counter.counts([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(off[1:] - off[:-1]), pa.array(tokens), pa.array(tokens > limit)], schema=OUT)
 
-    return run
+    return lean(run)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,8 +214,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
 
     No begin, end or added tokens; special strings inside a text count as one token each. Null and empty texts have 0.
     Null ids stay null; repeated rows get equal counts; other columns are not read; an empty table gives an empty one.
-    ``path`` must be readable where the tasks run.
+    ``path`` must be readable where the driver and the tasks run.
     """
     prepare(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_run(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(_run(path, limit, np.packbits(unsure(path))), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
