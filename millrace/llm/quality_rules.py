@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import kernel as K
-from millrace.llm.common import prepare, slices
+from millrace.llm.common import lean, prepare, slices
 
 WORD_BINS, COMMON, MAX_LANGUAGES = 1 << 14, 48, 256
 MIN_CHARS, MIN_WORDS = 100, 50
@@ -39,8 +39,7 @@ def facts(data: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray], np.
     n = len(off) - 1
     start, end, text_no = K.words(data, off)
     n_words = K.counts_by_text(text_no, n)
-    prefix = K.prefix_hash(data)
-    hashes = K.mix(K.span_hash(prefix, start, end))
+    hashes = K.span_digest(data, start, end)
     lead = (data & 0xC0) != 0x80
     word_chars = K.sum_by_text(lead & K.IS_WORD[data], off)
 
@@ -52,7 +51,7 @@ def facts(data: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray], np.
     has = np.searchsorted(start, stop) > np.searchsorted(start, begin)
     begin, stop = begin[has], stop[has]
     line_text = np.searchsorted(off, begin, side="right") - 1
-    line = K.mix(K.span_hash(prefix, begin, stop) + (stop - begin).astype(np.uint64))
+    line = K.span_digest(data, begin, stop)
     order = np.lexsort((line, line_text))
     again = np.zeros(len(line), bool)
     again[order[1:]] = (line[order][1:] == line[order][:-1]) & (line_text[order][1:] == line_text[order][:-1])
@@ -87,13 +86,14 @@ def facts(data: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray], np.
     s, e = start.copy(), end.copy()
     for _ in range(3):
         e -= (e > s) & mark[np.maximum(e - 1, 0)] if len(e) else e
-    bins = (K.mix(K.span_hash(K.prefix_hash(lower), s, e)) >> np.uint64(64 - 14)).astype(np.int64)
+    bins = (K.span_digest(lower, s, e) >> np.uint64(64 - 14)).astype(np.int64)
     return base, classes, bins, text_no
 
 
 COUNTS = pa.schema([("lang", pa.string()), ("cell", pa.int32()), ("n", pa.int64())])
 
 
+@lean
 def _count(batches):
     """Class cells (0 to CLASSES - 1) and word bins (from CLASSES on) by language over one partition."""
     total: dict[str, np.ndarray] = {}
@@ -188,7 +188,7 @@ def _judge(shared):
                 names = np.array([*refs.names, None], object)[near]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *[pa.array(v) for v in base.values()], pa.array(kept), pa.array(names, pa.string()), pa.array(by_class), pa.array(by_word)], schema=OUT)
 
-    return run
+    return lean(run)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
