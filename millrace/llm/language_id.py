@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import kernel as K
-from millrace.llm.common import prepare, slices
+from millrace.llm.common import lean, prepare, slices
 
 BINS = 1 << 16
 MAX_LANGUAGES = 256  # of a model; a label beyond the most frequent ones is refused, not dropped silently
@@ -52,6 +52,7 @@ def trigrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 COUNTS = pa.schema([("lang", pa.string()), ("bin", pa.int32()), ("n", pa.int64())])
 
 
+@lean
 def _count(batches):
     """Trigram counts by language over one partition."""
     total: dict[str, np.ndarray] = {}
@@ -176,7 +177,7 @@ def _predict(names: list[str], shared):
                 langs, scores, sets, shares = predict_slice(data, off, names, model)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(langs, pa.string()), pa.array(scores), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))], schema=PREDICTED)
 
-    return run
+    return lean(run)
 
 
 def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -202,7 +203,7 @@ def _accept(names: list[str], shared, text: str, schema: pa.Schema):
                 langs = predict_slice(data, off, names, model)[0]
                 yield part.filter(pa.array([x != UNDETERMINED for x in langs])).cast(schema)
 
-    return run
+    return lean(run)
 
 
 def keep_identified(docs: DataFrame, held_out: Column, text_col: str = "text", lang_col: str = "lang") -> DataFrame:

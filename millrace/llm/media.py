@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import archive_source
-from millrace.llm.common import prepare, scratch, slices
+from millrace.llm.common import lean, prepare, scratch, slices
 
 WIDTH = 64
 ARCHIVE_BYTES = 32 << 20
@@ -111,7 +111,7 @@ def _write(folder: str):
         if archive is not None:
             yield close()
 
-    return run
+    return lean(run)
 
 
 def write_archives(docs: DataFrame, id_col: str, text_col: str, folder: str | None = None) -> str:
@@ -144,6 +144,7 @@ FEATURES = pa.schema(
 )
 
 
+@lean
 def _features(batches):
     for batch in batches:
         rows = []

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, prepare, slices
+from millrace.llm.common import lean, materialise, prepare, slices
 from millrace.llm.quality_rules import CLASSES, WORD_BINS, facts
 
 DOMAINS = ("clean", "low", "toxic")
@@ -116,7 +116,7 @@ def _posteriors(shared, schema: pa.Schema, text: str = "text", keep_text: bool =
                 p = model.posteriors(dense, bins, owner) if model else np.full((len(words), len(DOMAINS)), 1 / len(DOMAINS))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(words), *[pa.array(p[:, d]) for d in range(len(DOMAINS))]], schema=schema)
 
-    return run
+    return lean(run)
 
 
 def _rate(y: np.ndarray) -> Column:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import prepare, slices, utf8
+from millrace.llm.common import lean, prepare, slices, utf8
 
 FIT_ROWS, FIT_BYTES, EPOCHS, BATCH, RATE, DECAY = 2400, 1 << 15, 10, 24, 0.01, 1e-4
 STEP, BLOCK, FILTERS, HIDDEN, LAGS = 4, 256, 24, 12, 40
@@ -179,7 +179,7 @@ def _score(shared):
                 score = network.score(data, off).astype(np.float64) if network else np.full(part.num_rows, 0.5)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], schema=OUT)
 
-    return run
+    return lean(run)
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
