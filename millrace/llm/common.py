@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from millrace.session import ensure_worker_path, read_table
 
-__all__ = ["discard", "held_out", "lean", "materialise", "prepare", "read_table", "shared_dir", "slices", "utf8"]
+__all__ = ["discard", "held_out", "lean", "materialise", "prepare", "read_table", "require_few", "shared_dir", "slices", "utf8"]
 
 
 _own_dirs: dict[str, str] = {}
@@ -105,6 +105,12 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 3 == 1, F.lit(True))
 
 
+def require_few(rows: DataFrame, column: str, most: int) -> None:
+    """An error if a column has more distinct values than ``most``, before anything is counted by them."""
+    if rows.select(column).distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} different values of {column}")
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All texts of an Arrow column as one byte array and n + 1 offsets; null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import kernel as K
-from millrace.llm.common import lean, prepare, slices
+from millrace.llm.common import lean, prepare, require_few, slices
 
 BINS = 1 << 16
 MAX_LANGUAGES = 256  # of a model; a label beyond the most frequent ones is refused, not dropped silently
@@ -75,11 +75,10 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
     What comes to the driver is bounded by ``BINS`` times ``MAX_LANGUAGES`` counts, however many rows there are.
     """
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    require_few(rows, "lang", MAX_LANGUAGES)
     counts = rows.mapInArrow(_count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     found = counts.toArrow()
     names = sorted(set(found.column("lang").to_pylist()))
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; at most {MAX_LANGUAGES} are supported")
     number = {name: k for k, name in enumerate(names)}
     table = np.zeros((BINS, len(names)))
     if found.num_rows:

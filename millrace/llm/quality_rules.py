@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import kernel as K
-from millrace.llm.common import lean, prepare, slices
+from millrace.llm.common import lean, prepare, require_few, slices
 
 WORD_BINS, COMMON, MAX_LANGUAGES = 1 << 14, 48, 256
 MIN_CHARS, MIN_WORDS = 100, 50
@@ -130,10 +130,9 @@ class References:
 def learn(docs: DataFrame, text_col: str, lang_col: str) -> References:
     """References from all rows with a language; at most MAX_LANGUAGES times (CLASSES + WORD_BINS) counts come back."""
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    require_few(rows, "lang", MAX_LANGUAGES)
     found = rows.mapInArrow(_count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(found.column("lang").to_pylist()))
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; at most {MAX_LANGUAGES} are supported")
     number = {name: k for k, name in enumerate(names)}
     table = np.zeros((len(names), CLASSES + WORD_BINS))
     if found.num_rows:
