@@ -1,7 +1,7 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Each byte becomes a few fixed channels (its class, and whether its four bytes stood in the ``LAGS`` bytes before).
-Learned filters of eight bytes run over the whole text in steps of four. Their rectified answers are max-pooled over
+Each byte becomes a few channels by a learned table of 257 rows: one for each value of a byte, one for padding. Learned
+filters of four bytes run over the whole text in steps of two. Their rectified answers are max-pooled over
 overlapping chunks of ``2 * BLOCK`` bytes; the chunks' largest and mean answers go through one hidden layer to one
 probability. The network is fitted on the driver on at most ``FIT_ROWS`` labelled rows of at most ``FIT_BYTES`` each.
 """
@@ -15,43 +15,19 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import lean, prepare, slices, utf8
 
-FIT_ROWS, FIT_BYTES, EPOCHS, BATCH, RATE, DECAY = 2400, 1 << 15, 10, 24, 0.01, 1e-4
-STEP, BLOCK, FILTERS, HIDDEN, LAGS = 4, 256, 24, 12, 40
-
-# Fixed channels: any byte, vowel, consonant, capital, digit, blank, line end, sentence end, other mark, symbol,
-# non-ASCII byte; the last channel is the repeat.
-CHANNELS = 12
-_CLASS = np.full(256, 8)
-_CLASS[97:123] = 2
-_CLASS[list(b"aeiou")] = 1
-_CLASS[65:91], _CLASS[48:58], _CLASS[list(b" \t\r")], _CLASS[10] = 3, 4, 5, 6
-_CLASS[list(b".?!")], _CLASS[list(b"#*$%&|<>")], _CLASS[128:] = 7, 9, 10
-TABLE = np.zeros((257, CHANNELS), np.float32)  # the last row pads
-TABLE[np.arange(256), _CLASS] = 1
-TABLE[:256, 0] = 1
+FIT_ROWS, FIT_BYTES, EPOCHS, BATCH, RATE, DECAY = 2400, 1 << 15, 20, 24, 0.01, 1e-4
+STEP, BLOCK, FILTERS, HIDDEN = 2, 256, 24, 12
+BYTES, CHANNELS = 257, 8  # 256 values and the pad
 
 
 def layout(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Input channels of a slice, every text padded to whole blocks, and the first block of each text."""
+    """Bytes of a slice, every text padded to whole blocks, and the first block of each text."""
     size = off[1:] - off[:-1]
     blocks = -(-(size + STEP) // BLOCK)
     first = np.concatenate([[0], np.cumsum(blocks)])
-    padded = np.full(int(first[-1]) * BLOCK, 256, np.int64)
-    shift = np.repeat(first[:-1] * BLOCK - off[:-1], size)
-    place = np.arange(len(data)) + shift
-    padded[place] = data
-    x = TABLE[padded]
-    # Four bytes that stood a little earlier in the text; pads never match, nor does what lies before a text.
-    word = np.zeros(len(padded), np.uint32)
-    raw = np.where(padded == 256, 0, padded).astype(np.uint32)
-    for k in range(4):
-        word[: len(raw) - k] |= raw[k:] << np.uint32(8 * k)
-    seen = np.zeros(len(padded), bool)
-    for lag in range(2, LAGS + 1):
-        seen[lag:] |= word[lag:] == word[:-lag]
-    within = np.arange(len(data)) - np.repeat(off[:-1], size)
-    x[place, CHANNELS - 1] = seen[place] & (within > LAGS)
-    return x, first
+    padded = np.full(int(first[-1]) * BLOCK, BYTES - 1, np.int16)
+    padded[np.arange(len(data)) + np.repeat(first[:-1] * BLOCK - off[:-1], size)] = data
+    return padded, first
 
 
 class Network:
@@ -61,6 +37,7 @@ class Network:
         rng = np.random.default_rng(seed)
         wide = STEP * CHANNELS
         self.w = {
+            "byte": rng.normal(0, 0.5, (BYTES, CHANNELS)),
             "near": rng.normal(0, 0.3, (wide, FILTERS)),
             "far": rng.normal(0, 0.3, (wide, FILTERS)),
             "in": rng.normal(0, 0.2, (2 * FILTERS, HIDDEN)),
@@ -70,9 +47,9 @@ class Network:
         }
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
-    def blocks(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Answers of all filters at all places, by block; and the input in steps."""
-        a = x.reshape(-1, STEP * CHANNELS)
+    def blocks(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Answers of all filters at all places, by block; and the bytes' channels in steps."""
+        a = self.w["byte"][codes].reshape(-1, STEP * CHANNELS)
         y = a @ self.w["near"]
         y[:-1] += (a @ self.w["far"])[1:]
         return np.maximum(y, 0, out=y).reshape(-1, BLOCK // STEP, FILTERS), a
@@ -90,8 +67,8 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(hidden @ self.w["out"] + self.w["base"][0], -30, 30))), hidden
 
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        x, first = layout(data, off)
-        y, _ = self.blocks(x)
+        codes, first = layout(data, off)
+        y, _ = self.blocks(codes)
         z = y.max(axis=1)
         one, two, begin = self.chunks(first)
         c = np.maximum(z[one], z[two])
@@ -100,8 +77,8 @@ class Network:
         return self.head(np.concatenate([high, mean], axis=1))[0]
 
     def gradient(self, data: np.ndarray, off: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
-        x, first = layout(data, off)
-        y, a = self.blocks(x)
+        codes, first = layout(data, off)
+        y, a = self.blocks(codes)
         at = y.argmax(axis=1)
         z = np.take_along_axis(y, at[:, None, :], axis=1)[:, 0]
         one, two, begin = self.chunks(first)
@@ -125,12 +102,20 @@ class Network:
         place = np.arange(len(z))[:, None] * (BLOCK // STEP) + at
         out = {"in": features.T @ d_hidden, "bias": d_hidden.sum(axis=0), "out": hidden.T @ e, "base": e.sum(keepdims=True)}
         near, far = np.zeros_like(self.w["near"]), np.zeros_like(self.w["far"])
+        steps = codes.reshape(-1, STEP)
+        seen, slope = [], []
         for f in range(FILTERS):
             used = np.flatnonzero(d_z[:, f])
-            g = d_z[used, f]
-            near[:, f] = g @ a[place[used, f]]
-            far[:, f] = g @ a[np.minimum(place[used, f] + 1, len(a) - 1)]
-        return out | {"near": near, "far": far}
+            for grad, weights, ahead in ((near, self.w["near"], 0), (far, self.w["far"], 1)):
+                # The last place has nothing ahead of it.
+                g, at_step = d_z[used, f], place[used, f] + ahead
+                g, at_step = g[at_step < len(a)], at_step[at_step < len(a)]
+                grad[:, f] = g @ a[at_step]
+                seen.append(steps[at_step].ravel())
+                slope.append((g[:, None] * weights[:, f]).reshape(-1, CHANNELS))
+        seen, slope = np.concatenate(seen), np.concatenate(slope)
+        byte = np.stack([np.bincount(seen, weights=slope[:, c], minlength=BYTES) for c in range(CHANNELS)], axis=1)
+        return out | {"near": near, "far": far, "byte": byte}
 
     def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> None:
         """Adam over shuffled batches; deterministic for given rows in a given order."""

@@ -94,7 +94,8 @@ def test_network_place_by_place():
     """Filters, pooling and chunks as loops over the places of each text."""
     net, (data, off) = network(), joined(TEXTS)
     scores = net.score(data, off)
-    x, first = quality_cnn.layout(data, off)
+    codes, first = quality_cnn.layout(data, off)
+    x = net.w["byte"][codes]
     step, per = quality_cnn.STEP, quality_cnn.BLOCK // quality_cnn.STEP
     for t in range(len(TEXTS)):
         begin, end = first[t] * per, first[t + 1] * per
