@@ -13,6 +13,15 @@ from millrace.plans.errors import ColumnsMismatch
 
 MINIMAL, LENGTH, STRICT = 0, 1, 2
 
+# Types whose columns may be loaded into longer ones; lengths of all other types must be equal.
+MAY_GROW = (
+    ["NUMBER", "DECIMAL", "NUMERIC"]
+    + ["VARCHAR", "CHAR", "CHARACTER", "STRING", "TEXT"]
+    + ["TIME", "DATETIME", "TIMESTAMP", "TIMESTAMP_NTZ", "TIMESTAMP_LTZ", "TIMESTAMP_TZ"]
+    + ["FLOAT", "FLOAT4", "FLOAT8", "REAL"]
+    + ["BINARY", "VARBINARY"]
+)
+
 
 def require_columns(source: Sequence[str], destination: Sequence[str]) -> None:
     """The source has columns, and the destination has all of them; names compare exactly."""
@@ -41,9 +50,16 @@ def same_length(source: ColumnDef, destination: ColumnDef, option: int) -> bool:
         return a == b
 
 
-def _compare(pairs: Iterable[tuple[ColumnDef, ColumnDef]], option: int) -> None:
+def load_rule(column: ColumnDef) -> int:
+    """The length rule for a column of a typed load from a table; BigQuery's own loads compare types only."""
+    if column.type.dialect == "bigquery":
+        return MINIMAL
+    return LENGTH if column.type.key in MAY_GROW else STRICT
+
+
+def _compare(pairs: Iterable[tuple[ColumnDef, ColumnDef]], option: int | None) -> None:
     for a, b in pairs:
-        if a.type.key != b.type.key or not same_length(a, b, option):
+        if a.type.key != b.type.key or not same_length(a, b, load_rule(a) if option is None else option):
             raise ColumnsMismatch(f"source {a.name} ({a.type.type_sql()}) does not match destination {b.name} ({b.type.type_sql()})", [a.name], [b.name])
 
 
@@ -52,8 +68,9 @@ def _used(columns: Iterable[ColumnDef], ignore: Iterable[str]) -> list[ColumnDef
     return [c for c in columns if c.name not in out]
 
 
-def same_columns_ordered(source: TableDef, destination: TableDef, option: int = STRICT, ignore: Sequence[str] = ()) -> None:
-    """Names, types and lengths agree pairwise; ignored columns are left out first, neighbours too."""
+def same_columns_ordered(source: TableDef, destination: TableDef, option: int | None = STRICT, ignore: Sequence[str] = ()) -> None:
+    """Names, types and lengths agree pairwise; ignored columns are left out first, neighbours too. No option: each
+    column's own rule for loads."""
     a, b = _used(source.columns, ignore), _used(destination.columns, ignore)
     if len(a) != len(b):
         raise ColumnsMismatch(f"tables have {len(a)} and {len(b)} columns", [c.name for c in a], [c.name for c in b])
@@ -94,6 +111,13 @@ def equal_ignoring_case(a: str, b: str) -> bool:
     return a.lower() == b.lower()
 
 
+def _longest(c: ColumnDef) -> int | None:
+    """How long a text column's values may be, if the definition says."""
+    kind = c.type
+    texts = kind.base_type == "STRING" and kind.canonical in ("VARCHAR", "STRING", "CHAR", "TEXT", "NVARCHAR")
+    return int(kind.length) if texts and kind.length and kind.length.isdigit() else None
+
+
 def violations(definition: TableDef, present: Iterable[str]) -> Column:
     """The first rule that a row breaks, or null: NOT NULL, text too long, vector of another size."""
     out: list[Column] = []
@@ -103,8 +127,8 @@ def violations(definition: TableDef, present: Iterable[str]) -> Column:
         value, kind = column(c.name), c.type
         if not kind.nullable:
             out.append(F.when(value.isNull(), F.lit(f"NOT_NULL: column {c.name}")))
-        if kind.length and kind.length.isdigit() and kind.base_type == "STRING" and kind.canonical in ("VARCHAR", "STRING", "CHAR", "TEXT", "NVARCHAR"):
-            out.append(F.when(F.length(value) > int(kind.length), F.lit(f"EXCEED_LIMIT_LENGTH: column {c.name}")))
+        if (most := _longest(c)) is not None:
+            out.append(F.when(F.length(value) > most, F.lit(f"EXCEED_LIMIT_LENGTH: column {c.name}")))
         if kind.key == "VECTOR":
             out.append(F.when(F.size(value) != int(kind.length.split(",")[1]), F.lit(f"VALUE_CONVERSION: column {c.name}")))
     return F.coalesce(*out, F.lit(None).cast("string")) if out else F.lit(None).cast("string")
@@ -121,5 +145,30 @@ def enforced(df: DataFrame, definition: TableDef) -> DataFrame:
     return df.withColumn(first, F.when(broken.isNotNull(), F.raise_error(broken).cast(dtype)).otherwise(column(first)))
 
 
+def bad_rows(df: DataFrame, definition: TableDef, nulls_allowed: Iterable[str] = ()) -> DataFrame:
+    """``(column, problem, value)`` for each value that the definition does not take, in one scan without a shuffle.
+
+    A text that is no value of its column's type, a null in a column that takes none (but for ``nulls_allowed``), a
+    text that is too long. ``value`` is its first 100 characters. Semi-structured columns and vectors are not looked at.
+    """
+    found, free = [], set(nulls_allowed)
+    for c in definition.columns:
+        if c.name not in df.columns:
+            continue
+        value, kind, have = column(c.name), c.type.spark().simpleString(), df.schema[c.name].dataType.simpleString()
+        problem = F.lit(None).cast("string")
+        if not c.type.nullable and c.name not in free:
+            problem = F.when(value.isNull(), "NOT_NULL")
+        if have == "string" and kind == "string" and (most := _longest(c)) is not None:
+            problem = F.coalesce(problem, F.when(F.length(value) > most, "EXCEED_LIMIT_LENGTH"))
+        if have == "string" and not any(x in kind for x in ("string", "variant", "array", "map", "struct")):
+            problem = F.coalesce(problem, F.when(value.isNotNull() & value.try_cast(kind).isNull(), "VALUE_CONVERSION"))
+        shown = F.substring(value.cast("string"), 1, 100) if have in ("string", "bigint", "int", "double", "boolean", "date") else F.lit(None).cast("string")
+        found.append(F.struct(F.lit(c.name).alias("column"), problem.alias("problem"), shown.alias("value")))
+    if not found:
+        return df.sparkSession.createDataFrame([], "column string, problem string, value string")
+    return df.select(F.explode(F.filter(F.array(*found), lambda x: x["problem"].isNotNull())).alias("x")).select("x.*")
+
+
 def rows_with_nulls(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.where(any_of([column(n).isNull() for n in names], False))

@@ -14,6 +14,7 @@ from millrace.functions.expressions import column
 from millrace.model import TIMESTAMP, ChangePolicy, ImportOptions, MatchPolicy, TableDef, TimestampMode
 
 _ROW, _D, _S = "__millrace_row", "__millrace_d", "__millrace_s"
+BROADCAST_BYTES = 64 << 20
 
 
 def _orderable(df: DataFrame, name: str) -> Column:
@@ -141,6 +142,11 @@ def update_candidates(destination: DataFrame, staging: DataFrame, key: Sequence[
     return joined.where(test if is_changed else ~test).select("s.*")
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of a frame's bytes, taken from the plan without running it; huge where it knows nothing."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def upsert(
     destination: DataFrame,
     staging: DataFrame,
@@ -156,8 +162,10 @@ def upsert(
 
     A matched row takes the staged values only if some column differs; unmatched staged rows are added; columns that
     are not staged keep their values, or take ``defaults`` in new rows. ``timestamp`` goes to changed and new rows,
-    unless staging has its own. Presence is told by a literal flag, since keys may be null. ``small_source`` chooses
-    a left join with a broadcast source and an anti-joined rest, for a source that the caller knows to be small.
+    unless staging has its own. Presence is told by a literal flag, since keys may be null. ``small_source`` asks for
+    the form in which the destination is not shuffled: a left join with the broadcast source, and the rest of the source
+    by the keys that were met, which are no more than the source's. It is taken if the source's estimated bytes are at
+    most ``BROADCAST_BYTES``; rows are the same either way.
     """
     staged = [c for c in staging.columns if c in destination.columns]
     compare = [c for c in staged if c != TIMESTAMP]
@@ -165,9 +173,10 @@ def upsert(
     d = destination.withColumn(_D, F.lit(True)).alias("d")
     s = staging.withColumn(_S, F.lit(True)).alias("s")
     condition = matched(key, match)
-    if small_source:
+    if small_source and estimated_bytes(staging) <= BROADCAST_BYTES:
         both = d.join(F.broadcast(s), condition, "left")
-        new = s.join(d, condition, "left_anti")
+        met = d.join(F.broadcast(s), condition).select(*[F.col(f"s.{E.quoted(k)}").alias(f"m{i}") for i, k in enumerate(key)]).distinct()
+        new = s.join(F.broadcast(met), E.all_of([F.col(f"s.{E.quoted(k)}").eqNullSafe(F.col(f"m{i}")) for i, k in enumerate(key)]), "left_anti")
         nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in d.schema]
         names_d, names_s = [f"d{i}" for i in range(len(d.columns))], [f"s{i}" for i in range(len(s.columns))]
         both = both.select(*[F.col(f"d.{E.quoted(c)}").alias(n) for c, n in zip(d.columns, names_d, strict=True)], *[F.col(f"s.{E.quoted(c)}").alias(n) for c, n in zip(s.columns, names_s, strict=True)])

@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.errors import PySparkException
 
 
+MOST_ROWS = 10
+
+
 class LoadError(Exception):
-    pass
+    """A failed load; ``rows`` tells what is wrong with some of its rows, at most ``MOST_ROWS``."""
+
+    rows: tuple[str, ...] = ()
+
+    def with_rows(self, rows: list[str]) -> LoadError:
+        self.rows = tuple(rows[:MOST_ROWS])
+        more = ["there are more"] if len(rows) > MOST_ROWS else []
+        self.args = ("\n".join([str(self.args[0]) if self.args else "", *self.rows, *more]), *self.args[1:])
+        return self
 
 
 class ColumnsMismatch(LoadError):

@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from typing import Any
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.functions.expressions import column
+from millrace.functions.types import TypeDef
 from millrace.model import TIMESTAMP, ColumnDef, ImportOptions, ImportState, MatchPolicy, TableDef, TimestampMode
 from millrace.operators import checks
 from millrace.operators import transforms as X
-from millrace.plans.errors import classified
-from millrace.plans.store import TableStore
+from millrace.plans.errors import MOST_ROWS, LoadError, NotNullViolation, RowTooLarge, ValueConversion, classified
+from millrace.plans.store import COLUMNS, TableStore
+from millrace.sources.tables import TableSource
 
 
 def staging_definition(destination: TableDef, source_columns: list[str], strings: bool) -> TableDef:
     """Source order; destination types (or strings), all nullable; unknown columns are long strings."""
-    from millrace.functions.types import TypeDef
-
     dialect = destination.columns[0].type.dialect if destination.columns else "snowflake"
     text = TypeDef(dialect, "STRING" if dialect == "bigquery" else "VARCHAR", None if dialect == "bigquery" else "16777216")
     columns = []
@@ -42,9 +45,11 @@ class Loader:
 
     def stage(self, source: Any, destination: TableDef, options: ImportOptions, state: ImportState) -> DataFrame:
         """The source's rows as the staging table would hold them. Lazy: reading happens with the final write."""
-        df = source.read(self.spark, options)
+        df = self._read(source, destination, options)
         checks.require_columns(df.columns, [*destination.names, TIMESTAMP])
         definition = staging_definition(destination, df.columns, options.strings)
+        if isinstance(source, TableSource) and not options.strings:
+            self._require_same_types(source, definition, options)
         state.staging, state.imported_columns = definition.name, list(df.columns)
         if not options.strings:
             # Texts become values of the destination's types; semi-structured ones wait for their own casts.
@@ -56,6 +61,27 @@ class Loader:
             df = df.withColumns(casts) if casts else df
         return df
 
+    def _read(self, source: Any, destination: TableDef, options: ImportOptions) -> DataFrame:
+        df = source.read(self.spark, options)
+        if not getattr(source, "by_position", False):
+            return df
+        names = [c for c in destination.names if c != TIMESTAMP]
+        if len(df.columns) == len(destination.names):
+            names = destination.names
+        if len(df.columns) != len(names):
+            raise checks.ColumnsMismatch(f"tables have {len(df.columns)} and {len(names)} columns", list(df.columns), names)
+        return df.toDF(*names)
+
+    def _require_same_types(self, source: TableSource, staging: TableDef, options: ImportOptions) -> None:
+        """Types and lengths of a source whose definitions the catalog knows; others are checked by their values."""
+        found = {r["key"]: r["value"] for r in self.spark.sql(f"SHOW TBLPROPERTIES {source.name}").collect()}
+        if COLUMNS not in found:
+            return
+        known = {c.pop("name"): TypeDef(c.pop("dialect"), **c) for c in json.loads(found[COLUMNS])}
+        read = source.columns or self.spark.table(source.name).columns
+        columns = [ColumnDef(new, known[old]) for old, new in zip(read, staging.names, strict=True)]
+        checks.same_columns_ordered(TableDef("source", tuple(columns)), staging, None, [*options.ignore_columns, TIMESTAMP])
+
     # --- loads ---
 
     def load(self, source: Any, table: str, options: ImportOptions = ImportOptions(), create_as_select: bool = False) -> ImportState:
@@ -70,9 +96,24 @@ class Loader:
             else:
                 self._full(source, table, options, state)
         except Exception as e:
-            raise classified(e) from e
+            error = classified(e)
+            if isinstance(error, (NotNullViolation, RowTooLarge, ValueConversion)):
+                error.with_rows(self._bad_rows(source, table, options))
+            raise error from e
         return state
 
+    def _bad_rows(self, source: Any, table: str, options: ImportOptions) -> list[str]:
+        """Up to one more than ``MOST_ROWS`` values that a failed load did not take. The source is read once more, until
+        that many are found; if that fails as well, there are none to tell."""
+        try:
+            destination = self.store.definition(table)
+            df = self._read(source, destination, options).drop(*options.ignore_columns)
+            texts = [f.name for f in df.schema if f.dataType.simpleString() == "string"] if options.strings else []
+            found = checks.bad_rows(df, destination, texts).limit(MOST_ROWS + 1).collect()
+        except (PySparkException, Py4JError, LoadError):
+            return []
+        return [f"{r['problem']}: column {r['column']}" + ("" if r["value"] is None else f": {r['value']}") for r in found]
+
     def _projected(self, df: DataFrame, destination: TableDef, options: ImportOptions) -> DataFrame:
         df = df.drop(*options.ignore_columns)
         df = X.with_timestamp(X.normalised(df, options, destination), options)

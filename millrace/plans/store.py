@@ -13,6 +13,7 @@ from millrace.functions.types import TypeDef
 from millrace.model import ColumnDef, TableDef
 from millrace.operators.transforms import aligned
 from millrace.plans.errors import LoadError
+from millrace.plans.retry import DEFAULT
 from millrace.sources import paths
 
 KEY, COLUMNS = "millrace.primary_key", "millrace.columns"
@@ -109,7 +110,7 @@ class TableStore:
             self.spark.sql(f"ALTER TABLE {self.name(fresh)} RENAME TO {self.name(table)}")
             self.spark.sql(f"DROP TABLE {self.name(old)}")
         else:
-            self.spark.sql(f"ALTER TABLE {self.name(table)} SET LOCATION {sql_literal(where)}")
+            DEFAULT.call(lambda: self.spark.sql(f"ALTER TABLE {self.name(table)} SET LOCATION {sql_literal(where)}"))
         self._register_partitions(table, partitions)
         self.spark.catalog.refreshTable(self.name(table))
         return read_version + 1

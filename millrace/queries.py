@@ -22,7 +22,7 @@ from millrace.plans.store import TableStore
 from millrace.session import read_table
 from millrace.sources.export import csv_lines, export
 from millrace.sources.files import FileSource
-from millrace.sources.tables import FrameSource, QuerySource
+from millrace.sources.tables import FrameSource, QuerySource, TableSource
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -121,10 +121,9 @@ def incremental_upsert_distinct(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(ORACLE["incremental_upsert_distinct"])
 def incremental_upsert_small_source(spark: SparkSession, sf: str) -> DataFrame:
-    """The same merge in the form for a source that fits a broadcast: nation-sized, not for large sources."""
+    """The same merge in the form that does not shuffle the destination; the source's estimated size decides whether it is taken."""
     destination, source = _slices(spark, sf)
-    # The caller vouches for the size; Spark's own threshold still decides in the default form.
-    return X.upsert(destination, X.dedup(source, ["o_orderkey"]), ["o_orderkey"], timestamp=_stamp(), small_source=source.count() < 100_000)
+    return X.upsert(destination, X.dedup(source, ["o_orderkey"]), ["o_orderkey"], timestamp=_stamp(), small_source=True)
 
 
 _LKEY = ["l_orderkey", "l_linenumber"]
@@ -407,3 +406,33 @@ def engine_create_as_select(spark: SparkSession, sf: str) -> DataFrame:
     store = _store(spark, TableDef("as_select", (*_varchar("k", "v", "w"), ColumnDef.timestamp())))
     Loader(store).load(FrameSource(_texts(spark, sf)), "as_select", _options(), create_as_select=True)
     return store.read("as_select")
+
+
+_LOOSE = "select case when o_orderkey % 50 = 0 then 'x' || cast(o_orderkey as varchar) when o_orderkey % 70 = 0 then null else cast(o_orderkey as varchar) end as id, case when o_orderkey % 30 = 0 then o_orderstatus || '1' else o_orderstatus end as st, case when o_orderkey % 40 = 0 then 'n/a' else cast(o_custkey as varchar) end as cust from orders"
+
+
+def _strict(name: str) -> TableDef:
+    return TableDef(name, (ColumnDef("id", TypeDef("snowflake", "INTEGER", None, False)), ColumnDef("st", TypeDef("snowflake", "VARCHAR", "1")), ColumnDef("cust", TypeDef("snowflake", "INTEGER"))))
+
+
+@query(f"""select 'id' as "column", case when id is null then 'NOT_NULL' else 'VALUE_CONVERSION' end as problem, id as "value" from ({_LOOSE}) where try_cast(id as bigint) is null
+    union all select 'st', 'EXCEED_LIMIT_LENGTH', st from ({_LOOSE}) where length(st) > 1
+    union all select 'cust', 'VALUE_CONVERSION', cust from ({_LOOSE}) where try_cast(cust as bigint) is null""")
+def bad_row_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Every value that a typed table would not take."""
+    k, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    key = F.when(k % 50 == 0, F.concat(F.lit("x"), text)).when(k % 70 == 0, None).otherwise(text)
+    status = F.when(k % 30 == 0, F.concat("o_orderstatus", F.lit("1"))).otherwise(F.col("o_orderstatus"))
+    customer = F.when(k % 40 == 0, "n/a").otherwise(F.col("o_custkey").cast("string"))
+    return checks.bad_rows(read_table(spark, sf, "orders").select(key.alias("id"), status.alias("st"), customer.alias("cust")), _strict("strict"))
+
+
+@query("select o_orderkey as id, o_orderstatus as st, o_custkey as cust from orders")
+def engine_load_by_position(spark: SparkSession, sf: str) -> DataFrame:
+    """A typed load from a stored table with other names, column by column, after a check of its types and lengths."""
+    given = TableDef("given", tuple(ColumnDef(f"c{i}", c.type) for i, c in enumerate(_strict("given").columns)))
+    store = _store(spark, given, _strict("by_position"))
+    orders = read_table(spark, sf, "orders")
+    store.commit("given", orders.select(F.col("o_orderkey").alias("c0"), F.col("o_orderstatus").alias("c1"), F.col("o_custkey").alias("c2")), 0)
+    Loader(store).load(TableSource("given", schema=store.schema, by_position=True), "by_position", ImportOptions(type_mode=TypeMode.USER))
+    return store.read("by_position")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from millrace.plans.retry import DEFAULT
+
 # Schemes that Hadoop's file systems know, for the schemes of warehouses and object stores.
 SCHEMES = {"s3": "s3a", "s3n": "s3a", "gcs": "gs", "azure": "abfss", "wasb": "wasbs"}
 
@@ -33,11 +35,15 @@ def prefix(path: str) -> str:
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return DEFAULT.call(lambda: where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where))
 
 
 def listing(spark: SparkSession, folder: str, recursive: bool = True) -> list[tuple[str, int]]:
     """Files under a folder with their sizes, hidden ones left out; listed page by page by the file system."""
+    return DEFAULT.call(lambda: _listed(spark, folder, recursive))
+
+
+def _listed(spark: SparkSession, folder: str, recursive: bool) -> list[tuple[str, int]]:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(folder)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -54,6 +60,10 @@ def listing(spark: SparkSession, folder: str, recursive: bool = True) -> list[tu
 
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file, such as a manifest, through Spark's own file systems."""
+    return DEFAULT.call(lambda: _read(spark, path))
+
+
+def _read(spark: SparkSession, path: str) -> str:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
@@ -64,6 +74,11 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written whole; one that is there is replaced."""
+    DEFAULT.call(lambda: _write(spark, path, text))
+
+
+def _write(spark: SparkSession, path: str, text: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
