@@ -1,10 +1,11 @@
 """SentencePiece models run by the tokenizers library.
 
 The model's protobuf is parsed here; normaliser, metaspace marker, scores and byte fallback are rebuilt from it, for
-unigram and BPE models. Texts are cut where no piece can reach across, and the distinct words that are new to a process
-are encoded together by the library's threads. Parity is verified on each of them: the model's own library encodes every
-such word too (or every whole text, where a model cannot be cut). Where the two differ, ``parity`` is false for all texts
-that hold the word, and the own library's ids are used.
+unigram and BPE models. Texts are cut where no piece can reach across: before each run of markers and, if line breaks
+are only ever fallback bytes, before each line break. The distinct words that are new to a task are encoded together by
+the library's threads, and their ids are decoded by the backend. Parity is verified on each of them: the
+model's own library encodes every such word too (or every whole text, where a model cannot be cut). Where the two
+differ, ``parity`` is false for all texts that hold the word, and the own library's ids are used.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from millrace.llm.common import lean, prepare, slices
 MARK = "\u2581"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-REMEMBERED, TOGETHER = 300_000, 48
+REMEMBERED, TOGETHER = 600_000, 200
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+_LINE_WORD = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
 
 
 def _fields(data: bytes):
@@ -120,9 +122,14 @@ class Codec:
         self.cut = not any(re.search(f"[^{MARK}]{MARK}", piece) for piece in usable)
         # A word alone and within its text are the same to the own library only if normalising leaves it as it is.
         self.by_word = self.cut and self.plain and m.dummy_prefix and MARK in usable
+        # A line break that stands in no piece becomes its fallback byte, and nothing reaches across it.
+        self.lines = self.by_word and m.byte_fallback and sum(kind == BYTE for *_, kind in m.pieces) == 256 and not any("\n" in piece for piece, _, kind in m.pieces if kind in (NORMAL, UNUSED))
         self.unknown = vocab[unknown]
         self.known: dict[str, bytes] = {}
         self.odd: set[str] = set()
+        # Words whose ids decode to something else, if all known words have been decoded.
+        self.changed: dict[str, str] = {}
+        self.decoded = True
         # Characters that an id stands for: a fallback byte counts if it begins a character.
         self.width = np.array([(kind != BYTE or not 0x80 <= int(piece[3:-1], 16) < 0xC0) * (1 if kind == BYTE else len(piece)) for piece, _, kind in m.pieces], np.int64)
 
@@ -130,78 +137,142 @@ class Codec:
         """Drop what was learned from texts, so that an idle process holds no memory for it."""
         self.known.clear()
         self.odd.clear()
+        self.changed.clear()
+        self.decoded = True
 
     def normalise(self, text: str) -> str:
         if self.plain:
             return (MARK if self.model.dummy_prefix and text else "") + text.replace(" ", MARK)
         return self.normaliser.normalize_str(text)
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words; where texts can be cut, ``TOGETHER`` words run as one text and their ids are parted again."""
+    def _cut(self, text: str) -> list[str]:
+        """Words of a text, in order. Where texts run by word, a word that begins with a mark is held without this mark."""
+        if not self.by_word:
+            whole = self.normalise(text)
+            return _WORD.findall(whole) if self.cut else [whole] * bool(whole)
+        if "  " in text or text[:1] == " " or MARK in text:
+            # Runs of marks stay together.
+            return [w if w[0] == "\n" else w[1:] for w in (_LINE_WORD if self.lines else _WORD).findall(self.normalise(text))]
+        if self.lines:
+            text = text.replace("\n", " \n")
+        return text.split(" ") if text else []
+
+    def _after_mark(self, word: str) -> bool:
+        return not (self.lines and word[:1] == "\n")
+
+    def _plain(self, word: str) -> str:
+        """What a word stands for in a text."""
+        return " " + word.replace(MARK, " ") if self._after_mark(word) else word
+
+    def _learn(self, words: list[str], decode: bool) -> None:
+        """Encode new words, and decode them; where texts can be cut, ``TOGETHER`` words run as one text and their ids are parted again."""
         if not self.by_word:
             for word, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
                 self.known[word] = pack(f"<{len(e.ids)}i", *e.ids)
             return
-        # Runs of marks alone, which end a text, would grow into the next word.
-        for word in [w for w in words if w[-1] == MARK]:
-            ids, own = self.tokenizer.encode(word, add_special_tokens=False).ids, self.own.encode(" " * (len(word) - 1)) if len(word) > 1 else [self.own.piece_to_id(MARK)]
+        self.decoded &= decode or not words
+        alone = []
+        # Runs of marks alone would grow into the next word.
+        for word in [w for w in words if w[-1:] in ("", MARK)]:
+            ids, own = self.tokenizer.encode(MARK + word, add_special_tokens=False).ids, self.own.encode(" " * len(word)) if word else [self.own.piece_to_id(MARK)]
             if ids != own:
                 self.odd.add(word)
             self.known[word] = pack(f"<{len(own)}i", *own)
-        words = [w for w in words if w[-1] != MARK]
-        groups = [words[s : s + TOGETHER] for s in range(0, len(words), TOGETHER)]
-        for s in range(0, len(groups), 1000):
-            part = groups[s : s + 1000]
-            joined = ["".join(g) for g in part]
-            ours = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
-            theirs = self.own.encode([j[1:].replace(MARK, " ") for j in joined], num_threads=1)
-            for group, ids, own in zip(part, ours, theirs, strict=True):
-                if self.unknown in ids or self.unknown in own:
-                    # An unknown id does not tell how many characters it stands for, so these words go one by one.
-                    self._learn_each(group)
-                    continue
-                ids_of = self._parted(group, ids)
-                if ids != own:
-                    for k, other in enumerate(self._parted(group, own)):
-                        if other != ids_of[k]:
-                            self.odd.add(group[k])
-                            ids_of[k] = other
-                self.known.update(zip(group, ids_of, strict=True))
+            alone.append(word)
+        words = [w for w in words if w[-1:] not in ("", MARK)]
+        for rows in ([w for w in words if self._after_mark(w)], [w for w in words if not self._after_mark(w)]):
+            groups = [rows[s : s + TOGETHER] for s in range(0, len(rows), TOGETHER)]
+            for s in range(0, len(groups), 1000):
+                alone += self._learn_groups(groups[s : s + 1000], decode)
+        if decode:
+            for word, back in zip(alone, self.decode([np.frombuffer(self.known[w], "<i4").tolist() for w in alone]), strict=True):
+                # The decoder drops the mark in front.
+                if (back := " " + back if self._after_mark(word) else back) != self._plain(word):
+                    self.changed[word] = back
+
+    def _learn_groups(self, groups: list[list[str]], decode: bool) -> list[str]:
+        """Groups of words that all begin with a mark, or all with a line break; the latter follow a mark of their own.
+
+        Returns the words that are still to be decoded one by one: those of groups that do not decode to what they were
+        made from, with as many characters for each word. The others decode to themselves.
+        """
+        marked = self._after_mark(groups[0][0])
+        parts = [[MARK + w for w in g] if marked else [MARK, *g] for g in groups]
+        joined = ["".join(p) for p in parts]
+        ours = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        theirs = self.own.encode([j[1:].replace(MARK, " ") for j in joined], num_threads=1)
+        backs, alone = self.decode(theirs) if decode else [None] * len(groups), []
+        for group, part, whole, ids, own, back in zip(groups, parts, joined, ours, theirs, backs, strict=True):
+            if self.unknown in ids or self.unknown in own:
+                # An unknown id does not tell how many characters it stands for, so these words go one by one.
+                self._learn_each(group)
+                alone += group
+                continue
+            ids_of, even = self._parted(part, own)
+            if ids != own:
+                self.odd.update(w for w, a, b in zip(group, ids_of[not marked :], self._parted(part, ids)[0][not marked :], strict=True) if a != b)
+            self.known.update(zip(group, ids_of[not marked :], strict=True))
+            if not even or back != whole[1:].replace(MARK, " "):
+                alone += group
+        return alone
 
     def _learn_each(self, words: list[str]) -> None:
         """Words encoded alone by both libraries; the own library adds the mark that each word begins with."""
-        ours = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        for word, e, own in zip(words, ours, self.own.encode([w[1:].replace(MARK, " ") for w in words], num_threads=1), strict=True):
+        ours = self.tokenizer.encode_batch_fast([MARK + w for w in words], add_special_tokens=False)
+        for word, e, own in zip(words, ours, self.own.encode([w.replace(MARK, " ") for w in words], num_threads=1), strict=True):
             if e.ids != own:
                 self.odd.add(word)
             self.known[word] = pack(f"<{len(own)}i", *own)
 
-    def _parted(self, group: list[str], ids: list[int]) -> list[bytes]:
-        """Ids of each word of a joined text, by the characters that ids stand for; each word begins at a token."""
+    def _parted(self, group: list[str], ids: list[int]) -> tuple[list[bytes], bool]:
+        """Ids of each word of a joined text, by the characters that ids stand for, and whether those add up for each word."""
         own = np.array(ids, "<i4")
-        ends = np.searchsorted(np.cumsum(self.width[own]), np.cumsum([len(w) for w in group]), side="right")
+        upto, wanted = np.cumsum(self.width[own]), np.cumsum([len(w) for w in group])
+        ends = np.searchsorted(upto, wanted, side="right")
         # Ids without a character of their own (continuation bytes) go with the character before.
         raw, out, at = own.tobytes(), [], 0
         for end in (4 * ends).tolist():
             out.append(raw[at:end])
             at = end
-        return out
+        return out, bool(ends[0]) and bool((upto[ends - 1] == wanted).all())
 
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """Ids of each text as little-endian 32-bit numbers, and whether both libraries agree on it."""
-        cut = [_WORD.findall(t) if self.cut else [t] * bool(t) for t in map(self.normalise, texts)]
-        known = self.known
-        new = list({w for words in cut for w in words if w not in known})
+    def _encode(self, texts: list[str], decode: bool = False) -> tuple[list[list[str]], list[bytes], list[bool]]:
+        cut = list(map(self._cut, texts))
+        distinct, known = set().union(*cut), self.known
+        new = [w for w in distinct if w not in known]
         if len(known) + len(new) > REMEMBERED:
             self.forget()
-            new = list({w for words in cut for w in words})
-        self._learn(new)
-        ids = [b"".join(map(known.__getitem__, words)) for words in cut]
+            new = list(distinct)
+        self._learn(new, decode)
+        near = {w: known[w] for w in distinct}  # smaller than all that is known, so it stays in the processor's cache
+        ids = [b"".join(map(near.__getitem__, words)) for words in cut]
         if self.by_word:
-            return ids, [not self.odd or self.odd.isdisjoint(words) for words in cut]
+            return cut, ids, [not self.odd or self.odd.isdisjoint(words) for words in cut]
         theirs = [np.array(i, "<i4").tobytes() for i in self.own.encode(texts, num_threads=1)]
         same = [a == b for a, b in zip(ids, theirs, strict=True)]
-        return [a if s else b for a, b, s in zip(ids, theirs, same, strict=True)], same
+        return cut, [a if s else b for a, b, s in zip(ids, theirs, same, strict=True)], same
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Ids of each text as little-endian 32-bit numbers, and whether both libraries agree on it."""
+        return self._encode(texts)[1:]
+
+    def there_and_back(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[str]]:
+        """As ``encode``, and the texts that the ids decode to; where texts run by word, new words are decoded, and texts put together.
+
+        Words begin at tokens and hold whole characters, so neither a piece nor a run of fallback bytes that makes one
+        character crosses from one word to the next. If every word of a text decodes to itself, the text does.
+        """
+        if not self.decoded:
+            self.forget()
+        cut, ids, same = self._encode(texts, True)
+        if not self.by_word:
+            return ids, same, self.decode([np.frombuffer(i, "<i4").tolist() for i in ids])
+        changed, back = self.changed, []
+        for text, words in zip(texts, cut, strict=True):
+            if MARK in text or changed and not changed.keys().isdisjoint(words):
+                text = "".join([changed[w] if w in changed else self._plain(w) for w in words])[1:]
+            back.append(text)
+        return ids, same, back
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Texts of ids, by the backend's decoder: marks as spaces, fallback bytes joined, without the dummy prefix."""
@@ -232,8 +303,7 @@ def _digests(path: str):
         for whole in batches:
             for part, _, off in slices(whole, "text", 1 << 20):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                ids, same = coder.encode(texts)
-                back = coder.decode([np.frombuffer(i, "<i4").tolist() for i in ids])
+                ids, same, back = coder.there_and_back(texts)
                 columns = [part.column("doc_id").cast(pa.int64()), off[1:] - off[:-1], [len(i) // 4 for i in ids], [hashlib.sha256(i).hexdigest() for i in ids]]
                 columns += [[hashlib.sha256(b.encode("utf-8")).hexdigest() for b in back], [a == b for a, b in zip(texts, back, strict=True)], same]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns, schema.types, strict=True)], schema=schema)
