@@ -27,7 +27,7 @@ from millrace.llm.common import discard, lean, materialise, prepare, slices
 from millrace.llm.components import connected_components
 
 PERMUTATIONS, BITS, CHUNKS = 32, 16, 8
-STAR_ROUNDS, CROWDED_ROUNDS, PARITY_BITS, FOLDED_BITS, STRAIGHT, TOKEN_BITS = 2, 2, 1024, 256, 64, 18
+STAR_ROUNDS, CROWDED_ROUNDS, PARITY_BITS, FOLDED_BITS, STRAIGHT, TOKEN_BITS, RANGE_BITS = 2, 2, 1024, 256, 64, 18, 6
 PER_CHUNK = PERMUTATIONS // CHUNKS
 _rng = np.random.default_rng(8)
 _A = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -196,13 +196,38 @@ def _bin(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - TOKEN_BITS)).astype(np.int64)
 
 
+def _packed(total: np.ndarray) -> pa.RecordBatch:
+    """One row for each of the ``2 ** RANGE_BITS`` ranges of bins that has counts: its bins and their counts."""
+    full = np.flatnonzero(total)
+    ranges, first = np.unique(full >> (TOKEN_BITS - RANGE_BITS), return_index=True)
+    begin = pa.array(np.append(first, len(full)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(ranges.astype(np.int32)), pa.ListArray.from_arrays(begin, pa.array(full.astype(np.int32))), pa.ListArray.from_arrays(begin, pa.array(total[full]))], names=["range", "bins", "n"])
+
+
 @lean
 def _token_counts(batches):
     total = np.zeros(1 << TOKEN_BITS, np.int64)
     for batch in batches:
         total += np.bincount(_bin(np.asarray(batch.column("hashes").flatten()).view(np.uint64)), minlength=len(total))
-    full = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], names=["bin", "n"])
+    yield _packed(total)
+
+
+@lean
+def _summed_counts(batches):
+    total = np.zeros(1 << TOKEN_BITS, np.int64)
+    for batch in batches:
+        np.add.at(total, np.asarray(batch.column("bins").flatten()), np.asarray(batch.column("n").flatten()))
+    yield _packed(total)
+
+
+def _bin_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall into each bin; each task sends one row a range of bins, however many it has read."""
+    schema = "range int, bins array<int>, n array<long>"
+    found = sets.select("hashes").mapInArrow(_token_counts, schema).repartition(1 << RANGE_BITS, "range").mapInArrow(_summed_counts, schema).toArrow()
+    counts = np.zeros(1 << TOKEN_BITS, np.int64)
+    for bins, n in zip(found.column("bins").chunks, found.column("n").chunks, strict=True):
+        counts[np.asarray(bins.flatten())] = np.asarray(n.flatten())
+    return counts
 
 
 def _rarest(shared, percent: int):
@@ -238,10 +263,7 @@ def _rare(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     may count for the smaller set of a pair, whose partner is at least as large.
     """
     held = classes.join(sets, "class").select("class", "component", "folded", "hashes")
-    found = held.select("hashes").mapInArrow(_token_counts, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << TOKEN_BITS, np.int64)
-    counts[np.asarray(found.column("bin"))] = np.asarray(found.column("n"))
-    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    shared = sets.sparkSession.sparkContext.broadcast(_bin_counts(held))
     return held.mapInArrow(_rarest(shared, percent), "key long, class long, component long, folded array<long>, n long, place long, lead boolean")
 
 
